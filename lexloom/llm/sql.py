@@ -1,3 +1,5 @@
 """DuckDB statements for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from . import mixing
+
+ORACLES: dict[str, str] = {"op4_mixing": mixing.oracle()}
