@@ -88,9 +88,14 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tup
     ``bounds`` has the texts' starts and the end. Returns a uint64 for each word and, for each text, where its words
     start among them (one entry more than texts).
     """
+    return word_parts(data, bounds, lower)[:2]
+
+
+def word_parts(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and the words' first bytes and ends."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     solid = _SOLID[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -105,7 +110,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tup
     sums[0] = 0
     np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(starts, bounds)
+    return hashes, np.searchsorted(starts, bounds), starts, ends
 
 
 def binary_parts(column) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +134,13 @@ def text_chunks(column, limit: int = _CHUNK) -> Iterator[tuple[int, int, np.ndar
         row = end
 
 
+def window_hashes(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of ``length`` words at the given starts, from one pass of running sums."""
+    up, down = _power_tables(len(hashes))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
+    return mix((sums[starts + length] - sums[starts]) * down[starts] + np.uint64(length))
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words; the order of the words counts."""
     n = len(hashes) - k + 1
