@@ -7,7 +7,8 @@ of its rank among the pieces of its length. A common length is ranked in several
 counts, so that no task ranks an unbounded group.
 
 Tokens: whole texts, split at single spaces that stand between solid characters (the tokenizer never joins across these)
-and looked up in a bounded cache of what the tokenizer has given for a chunk; texts with other spacing are tokenized whole.
+and looked up in a bounded cache of chunks; unknown chunks go through an engine that runs the vocabulary and merges of the
+tokenizer's own file (the ids are the same); texts with other spacing or a special token are tokenized whole.
 
 Defined cases: a null text is empty (its one id is the end id); repeated rows are packed as often as they occur; null
 keys stay null; an empty table gives no rows.
@@ -16,8 +17,11 @@ keys stay null; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
-import re
+import json
+import sys
 import zlib
+from array import array
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Rows that one task ranks at most, as expected.
 RANKED = 50_000
-_CACHE_ENTRIES = 400_000
-_ODD = re.compile(r"\s\s|[^\S \n]|^\s| $")
+_CACHE_ENTRIES = 800_000
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -41,6 +44,40 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def ranked_engine(path: str):
+    """A tiktoken engine with the vocabulary of the tokenizer's file, if its merges are in the order of their ids (as
+    byte-level BPE files have it); else None."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    model = json.loads(Path(path).read_text())["model"]
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    decode = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    vocab, merges = model["vocab"], [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+    if sys.byteorder != "little" or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    ranks = {bytes(decode[c] for c in token): i for token, i in vocab.items() if i < 256 + len(merges)}
+    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class OddSpacing(Exception):
+    """White space beside a space: the tokenizer's own rules are needed."""
+
+
+class Chunks(dict):
+    """Ids of chunks, made when first asked for."""
+
+    def __init__(self, encode, lead: str):
+        super().__init__()
+        self.encode, self.lead = encode, lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise OddSpacing
+        out = self[chunk] = self.encode(self.lead + chunk)
+        return out
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes."""
 
@@ -48,36 +85,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        whole, split, missing = [], [], set()
-        cache = self.cache
-        for i, text in enumerate(texts):
-            # "<" may begin a special token, which a split could cut in two
-            if _ODD.search(text) or "<|" in text:
-                whole.append(i)
-            elif text:
-                first, *rest = text.split(" ")
-                chunks = [first, *(" " + x for x in rest)]
-                split.append((i, chunks))
-                missing.update(x for x in chunks if x not in cache)
-        new = sorted(missing)
-        if len(cache) + len(new) > _CACHE_ENTRIES:
-            kept = {x: cache[x] for _, chunks in split for x in chunks if x in cache}
-            cache.clear()
-            cache.update(kept)
-        for a in range(0, len(new), 20_000):
-            cache.update(zip(new[a : a + 20_000], self._encode(new[a : a + 20_000]), strict=True))
-        for i, chunks in split:
-            out[i] = b"".join([cache[x] for x in chunks])
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0]
-        return out
+        self.ranked = ranked_engine(path)
+        # Chunks hold no special token, so the same vocabulary and merges may run in the quicker engine.
+        encode = (lambda x: array("I", self.ranked.encode_ordinary(x)).tobytes()) if self.ranked else self.whole
+        self.first, self.later = Chunks(encode, ""), Chunks(encode, " ")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if "<|" in text:  # may begin a special token, which a split could cut in two
+            return self.whole(text)
+        if len(self.later) > _CACHE_ENTRIES:
+            self.first.clear()
+            self.later.clear()
+        first, *rest = text.split(" ")
+        try:
+            return self.first[first] + b"".join(map(self.later.__getitem__, rest))
+        except OddSpacing:
+            return self.whole(text)
 
 
 def encoder(path: str) -> Encoder:
@@ -99,17 +127,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "te
 
     def tokenize(batches):
         encode = encoder(path)
-        for whole in batches:
-            keys, texts = whole.column(0), whole.column(1)
-            at, size, n = 0, 0, whole.num_rows
-            for i in range(n + 1):
-                if i < n and (size < 1 << 21 or i == at):
-                    size += len(texts[i].as_buffer()) if texts[i].is_valid else 0
-                    continue
-                out = [(j, k, *p) for j, ids in enumerate(encode([x or "" for x in texts[at:i].to_pylist()])) for k, p in enumerate(cut(ids + end, capacity))]
-                rows = np.array(out, np.int64).reshape(-1, 5)
-                yield pa.RecordBatch.from_arrays([keys[at:i].take(pa.array(rows[:, 0])), pa.array(rows[:, 1].astype(np.int32)), *(pa.array(rows[:, c]) for c in (2, 3, 4))], names=["key", "piece", "start", "length", "ids_crc32"])
-                at, size = i, len(texts[i].as_buffer()) if i < n and texts[i].is_valid else 0
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            out = [(j, k, *p) for j in range(batch.num_rows) for k, p in enumerate(cut(encode(texts[j].as_py() or "") + end, capacity))]
+            rows = np.array(out, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[:, 0])), pa.array(rows[:, 1].astype(np.int32)), *(pa.array(rows[:, c]) for c in (2, 3, 4))], names=["key", "piece", "start", "length", "ids_crc32"])
 
     part = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return part.mapInArrow(tokenize, f"key {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
