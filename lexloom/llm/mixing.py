@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,8 +29,10 @@ DEFAULT_TOPIC = "prose"
 WORD = "[^\\x20\\x09-\\x0D]+"
 POWER = 0.7
 MARGINS = ("source", "lang", "topic")
-#: Rounds of raking; every LOOK rounds the loop ends if every margin is within TOLERANCE of its target share.
+#: Rounds of raking; after every LOOK rounds the loop ends if every margin is within TOLERANCE of its target share.
 ROUNDS, TOLERANCE, LOOK = 60, 1e-11, 5
+#: Cells up to which raking may gather them in one task (about 60 bytes each).
+GATHERED = 100_000
 _OWN = "__mix_"
 
 
@@ -53,28 +55,46 @@ def default_targets(cells: DataFrame, margin: str, power: float = POWER) -> Data
     return sums.select(margin, (share / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Adds ``weight`` to the cells, raked to the targets (shares of one).
+def _scaled_in_one(cells: DataFrame, rounds: int) -> DataFrame:
+    """Rounds of raking where all cells lie in one partition: running sums by window, no shuffle between them."""
+    for _ in range(rounds):
+        for m in MARGINS:
+            own = F.sum("weight").over(Window.partitionBy(m))
+            cells = cells.withColumn("weight", F.col("weight") * F.col(f"target_{m}") / own)
+    errors = [F.abs(F.sum("weight").over(Window.partitionBy(m)) / F.col(f"target_{m}") - 1) for m in MARGINS]
+    return cells.withColumn("error", F.greatest(*errors))
+
+
+def _scaled(cells: DataFrame) -> DataFrame:
+    """One round where the cells are many: sums by margin combine before the shuffle and are joined back, so a category
+    with a third of all cells is no hot spot."""
+    for m in MARGINS:
+        sums = cells.groupBy(m).agg(F.sum("weight").alias("got"))
+        cells = cells.join(sums, m).withColumn("weight", F.col("weight") * F.col(f"target_{m}") / F.col("got")).drop("got")
+        cells = common.written(cells, "raking")
+    return cells
+
 
-    The weights are products of one factor for each category, so a round only sums cells by margin; the factor tables are
-    what is carried from round to round.
-    """
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Adds ``weight`` to the cells, raked to the targets (shares of one). Both ways of a round give the same weights."""
     cells = cells.where("tokens > 0")
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
-    weighted = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
-    for turn in range(rounds):
-        for margin in MARGINS:
-            sums = weighted.groupBy(margin).agg(F.sum("weight").alias("got"))
-            scale = sums.join(targets[margin], margin).select(margin, (F.col("target") / F.col("got")).alias("scale"))
-            weighted = weighted.join(scale, margin).withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
-        weighted = common.written(weighted, "raked")
-        if (turn + 1) % LOOK:
-            continue
-        errors = [weighted.groupBy(m).agg(F.sum("weight").alias("got")).join(targets[m], m).agg(F.max(F.abs(F.col("got") / F.col("target") - 1)).alias("e")) for m in MARGINS]
-        worst = reduce(DataFrame.union, errors).agg(F.max("e")).first()[0]
+    total, n = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    for m in MARGINS:
+        cells = cells.join(targets[m].withColumnRenamed("target", f"target_{m}"), m)
+    weighted = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
+    few = n <= GATHERED
+    for turn in range(0, rounds, LOOK):
+        if few:
+            weighted = common.written(_scaled_in_one(weighted.coalesce(1), LOOK), "raked")
+            worst = weighted.agg(F.max("error")).first()[0]
+        else:
+            for _ in range(LOOK):
+                weighted = _scaled(weighted)
+            errors = [weighted.groupBy(m).agg(F.abs(F.sum("weight") / F.first(f"target_{m}") - 1).alias("e")).select("e") for m in MARGINS]
+            worst = reduce(DataFrame.union, errors).agg(F.max("e")).first()[0]
         if worst is None or worst < tolerance:
             break
-    return weighted
+    return weighted.drop("error", *(f"target_{m}" for m in MARGINS))
 
 
 def probabilities(base: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = 1.0) -> DataFrame:
