@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import text_queries, usage_queries
+
 
 def queries():
-    return {}
+    return {**usage_queries.QUERIES, **text_queries.QUERIES}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {**usage_queries.SQL, **text_queries.SQL}
