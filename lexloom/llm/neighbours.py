@@ -80,6 +80,8 @@ class Block:
                 best = [(float(found[0][i]), int(found[1][i])) for i in order]
                 return best
             radius *= STEP
+            if not np.isfinite(radius):  # distances beyond double precision: the rest is verified
+                counts[:] = LINES
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
