@@ -1,13 +1,13 @@
 """Language-model scores: a gated recurrent network in numpy with a class-factored softmax, beside a smoothed unigram base.
 
 Vocabulary: Spark counts every token of the training documents (those whose crc32 of the key, as text, is not 0 modulo 10).
-The 1,024 most frequent words form 32 classes by rank; every other word belongs to one of 48 classes that its last two
+The 1,024 most frequent words form 32 classes by rank; every other word belongs to one of 32 classes that its last two
 bytes name. The network reads the previous token (a frequent word, or a class), and predicts the next token's class and,
 in the frequent classes, the word within it, both by softmax from its state; within the other classes a word has its
 smoothed share of the class, with room for words never seen, so the probabilities of all tokens sum to one.
 
 Training: every training document is read once, in rounds that hash of the key deals out; in a round each task starts from
-the same weights, runs truncated backpropagation over windows of 16 tokens in 128 lanes (the state goes on from window to
+the same weights, runs truncated backpropagation over windows of 16 tokens in up to 512 lanes (the state goes on from window to
 window), and the tasks' weights are averaged by their tokens. The output layer starts at the logarithms of the counted shares, so an
 untrained network equals the class-wise unigram.
 
@@ -33,10 +33,12 @@ from . import common
 SMOOTH = 0.1
 WIDE, DEEP = 32, 32  # frequent classes, words in each
 SHORT = WIDE * DEEP
-TAIL = 48
+TAIL = 32
 CLASSES = WIDE + TAIL
 HIDDEN = 16
-STEPS, LANES, SCORE_LANES = 16, 128, 256
+STEPS, LANES, SCORE_LANES = 16, 512, 1024
+#: Output weights stay within this, so that no logit overflows.
+BOUND = 4.0
 ROUNDS, RATE = 3, 0.08
 #: Words whose counts are broadcast at most (16 bytes each).
 HEAD = 400_000
@@ -139,7 +141,7 @@ def lexicon(vocab: DataFrame) -> Lexicon:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
 
 class Network:
@@ -187,7 +189,6 @@ class Network:
         """Natural log probabilities of classes (and, in frequent classes, words) at states; with gradients of their negative sum."""
         w = self.w
         logits = s @ w["wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
         at = np.arange(len(s))
         chosen = logits[at, kind]
         np.exp(logits, out=logits)
@@ -207,7 +208,6 @@ class Network:
                 continue
             own, target = s[rows], word[rows]
             l = own @ w["ww"][c] + w["bw"][c]
-            l -= l.max(1, keepdims=True)
             i = np.arange(len(rows))
             chosen = l[i, target]
             np.exp(l, out=l)
@@ -263,7 +263,7 @@ def train_task(start: Network, lex: Lexicon, columns):
         if not len(before):
             continue
         seen += len(before)
-        lanes = max(1, min(LANES, len(before) // (4 * STEPS)))
+        lanes = max(1, min(LANES, len(before) // (16 * STEPS)))
         length = -(-len(before) // lanes)
         pad = lanes * length - len(before)  # the last lane's end: reset rows that no gradient counts
         shape = lambda v, fill: np.concatenate([v, np.full(pad, fill, v.dtype)]).reshape(lanes, length).T  # noqa: B023, E731
@@ -286,6 +286,8 @@ def train_task(start: Network, lex: Lexicon, columns):
                 else:
                     sums[k] += v * v
                     net.w[k] -= RATE * v / np.sqrt(sums[k])
+                    if k in ("wc", "ww"):
+                        np.clip(net.w[k], -BOUND, BOUND, out=net.w[k])
     return net, seen
 
 
@@ -299,7 +301,7 @@ def train(docs: DataFrame, lex: Lexicon, text: str, key: str, rounds: int = ROUN
 
         def learn(batches, shared=shared):
             start, lex = shared.value
-            net, seen = train_task(start, lex, (b.column(0).slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)))
+            net, seen = train_task(start, lex, (b.column(0).slice(at, 4000) for b in batches for at in range(0, b.num_rows, 4000)))
             if seen:
                 flat = net.flat()
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "v", "n"])
@@ -315,7 +317,7 @@ def train(docs: DataFrame, lex: Lexicon, text: str, key: str, rounds: int = ROUN
 def lane_scores(net: Network, before: np.ndarray, kind: np.ndarray, word: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Natural log probability of class (and word) of every token; each text runs in one lane from its start to its end."""
     sizes = np.diff(bounds)
-    lanes = min(SCORE_LANES, len(sizes))
+    lanes = max(1, min(SCORE_LANES, len(sizes), int(bounds[-1]) // 1000 + 1))
     loads, lists = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
     for i in np.argsort(-sizes, kind="stable"):
         lane = int(loads.argmin())
@@ -355,8 +357,8 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         norm = np.log10(lex.tail_tokens + SMOOTH * (lex.tail_types + 1))
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for start in range(0, batch.num_rows, 2500):
-                part = batch.slice(start, 2500)
+            for start in range(0, batch.num_rows, 7000):
+                part = batch.slice(start, 7000)
                 h, kind, bounds = tokens(part.column(2))
                 count, before, cls, word, _ = coded(lex, h, kind, bounds)
                 p = lane_scores(net, before, cls, word, bounds) / math.log(10)

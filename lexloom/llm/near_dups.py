@@ -35,6 +35,8 @@ ESTIMATE = 0.6
 SALTED = 256
 #: Rows up to which the table of wanted texts is broadcast (about 50 bytes each); beyond that the texts are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Edges that one task unites at most (about 200 bytes each).
+UNITED = 500_000
 _TOP = np.uint64(57)
 _LOW = np.uint64((1 << 57) - 1)
 _PROBES = np.argsort(np.random.default_rng(77).random((REGISTERS, REGISTERS)), axis=1)
@@ -159,10 +161,34 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str,
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "role").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
+def _united(batches):
+    """Union-find over all edges of one task; a root is the smallest of its nodes."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        kind = batch.schema.types[0]
+    nodes = list(parent)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "comp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for the nodes of (a, b): contraction along edges, each label hooking to a neighbour of smaller random rank."""
+    """(node, comp) for the nodes of (a, b), comp being the smallest node. A bounded number of edges is united in one task;
+    more are contracted in rounds, each label hooking to a neighbour of smaller random rank."""
     kind = edges.schema["a"].dataType.simpleString()
     edges = common.written(edges, "edges")
+    if edges.count() <= UNITED:
+        return edges.coalesce(1).mapInArrow(_united, f"node {kind}, comp {kind}")
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     turn = 0
     while not edges.isEmpty():

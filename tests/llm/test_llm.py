@@ -160,6 +160,14 @@ def plain_components(texts, k, percent):
     return sets, comp
 
 
+@pytest.mark.parametrize("united", [0, 1000])
+def test_components(spark, monkeypatch, united):
+    monkeypatch.setattr(near_dups, "UNITED", united)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (201, 202), (202, 200)]
+    got = {r["node"]: r["comp"] for r in rows(near_dups.components(spark.createDataFrame(edges, "a long, b long")))}
+    assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200, 202: 200}
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_duplicates(docs, texts, k):
     sets, comp = plain_components(texts, k, 80)
