@@ -110,3 +110,18 @@ def session_report(path: Column, turns: Column, tokens: Column, cached: Column,
     where = F.when(tail_of_path(path) != "", F.concat(F.lit("Session:  "), tail_of_path(path), F.lit("\n"))).otherwise("")
     whole = F.concat(F.lit(f"\nStats\n{RULE}\n"), where, F.lit("Turns:    "), turns.cast("string"), F.lit(f"\n{RULE}\nOutput tokens:         "), thousands(tokens), F.lit("\nCache-read tokens:     "), thousands(cached), F.lit(f"\n{RULE}\n"), block, F.lit("\n"))
     return F.when(turns == 0, F.lit(f"\nStats\n{RULE}\nNo conversation yet\n{RULE}\n")).otherwise(whole)
+
+
+def utc_iso(ms: Column) -> Column:
+    """Epoch milliseconds as an ISO instant (the session's zone is UTC)."""
+    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def utc_stamp(ms: Column) -> Column:
+    """Epoch milliseconds as part of a file name."""
+    return F.date_format(F.timestamp_millis(ms), "yyyyMMdd_HHmmss")
+
+
+def shell_quoted(text: Column) -> Column:
+    """In single quotes for a POSIX shell."""
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'"))

@@ -76,3 +76,21 @@ def detected(providers: DataFrame, facts: DataFrame, chosen: tuple[str, ...] = (
     named = F.col("id").isin(*chosen) if chosen else F.lit(False)
     wanted = named | (F.coalesce("hit", F.lit(False)) & ~F.coalesce("soft", F.lit(False)) & F.lit(not chosen))
     return providers.join(hits, "id", "left").where(wanted).drop("hit")
+
+
+def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The existing rows, and those new ones whose key is not there yet."""
+    return existing.unionByName(new.dropDuplicates([key]).join(existing.select(key), key, "left_anti"))
+
+
+def selected(rows: DataFrame, choice: str, order: str = "ord") -> DataFrame:
+    """The rows that a choice like "1,3" names by their place in the list, counted from 1."""
+    places = [int(x) for x in choice.replace(" ", "").split(",") if x.isdigit()]
+    return rows.where((F.col(order) + 1).isin(places)) if places else rows.limit(0)
+
+
+def with_description(skills: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the front matter's description and whether it is free of angle brackets."""
+    from ..functions.markdown import described
+
+    return skills.withColumn("description", described(F.col(text))).withColumn("plain", lint.plain_description(F.col("description")))

@@ -84,6 +84,17 @@ def test_lookups(spark):
     assert sorted(r["id"] for r in lookup.detected(rules, facts, ("q", "r")).collect()) == ["q", "r"]
 
 
+def test_upsert_choice_and_descriptions(spark):
+    old, new = spark.createDataFrame([(1, "a")], "ord int, id string"), spark.createDataFrame([(5, "a"), (2, "b"), (2, "b")], "ord int, id string")
+    assert sorted(tuple(r) for r in lookup.upsert(old, new, "id").collect()) == [(1, "a"), (2, "b")]
+    listed = spark.createDataFrame([(i, c) for i, c in enumerate("xyz")], "ord int, id string")
+    assert sorted(r["id"] for r in lookup.selected(listed, "1, 3").collect()) == ["x", "z"] and lookup.selected(listed, "").count() == 0
+    texts = spark.createDataFrame([("---\ndescription: |\n  a <b>\n---",), ("---\ndescription: fine\n---",), (None,)], "text string")
+    assert [tuple(r)[1:] for r in lookup.with_description(texts).collect()] == [("a <b>", False), ("fine", True), (None, None)]
+    shown = spark.range(1).select(formatting.utc_iso(F.lit(1000)), formatting.utc_stamp(F.lit(1000)), formatting.shell_quoted(F.lit("it's"))).first()
+    assert tuple(shown) == ("1970-01-01T00:00:01.000Z", "19700101_000001", "'it'\\''s'")
+
+
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.env").write_text("# c\nA=1\nB=x=y\nbad\n")
