@@ -7,11 +7,11 @@ registers are banded, four to a band: at a similarity of 0.8 a pair misses all 3
 collision-corrected Jaccard estimate is below 0.6 (more than five standard deviations under 0.8) are dropped; the others are
 verified on full sets.
 
-A bucket of a band never gives all its pairs. It has a pivot that all its members are compared with; the pivot then leaves
-the bucket, and the bucket goes on only while its members lie in different components. The next pivots are the members
-most like earlier pivots, that is, the centre of a group of copies. So every pair of a bucket is either compared or already
-connected, in a few rounds. Groups are split over tasks: sums are partial, joins may be split, and the members that meet a
-pivot do so in salted groups of bounded size.
+A bucket of a band never gives all its pairs. It has a pivot that all its members are compared with; pivots then leave the
+bucket, and it goes on only while its members lie in different components. Pivots are the member most like earlier pivots
+(the centre of a group of copies) and, from the second round on, some members outside of the bucket's largest component,
+twice as many each round. So every pair of a bucket is either compared or already connected, in a few rounds. Groups are
+split over tasks: sums are partial, joins may be split, and pivots and members meet in blocks of bounded size.
 
 Defined cases: a text that is null or has no words has an empty set, links with nothing and is kept; rows that repeat a
 key are judged one by one, each by its own text; a row without a key has no component and is kept; other columns pass.
@@ -31,8 +31,10 @@ from . import common
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 ESTIMATE = 0.6
-#: Members that meet a pivot in one group.
-SALTED = 256
+#: Members and pivots that meet in one block.
+SALTED, PIVOTS = 256, 32
+#: Pivots of a bucket in its second round, as expected; twice as many in each round after.
+FIRST = 16
 #: Rows up to which the table of wanted texts is broadcast (about 50 bytes each); beyond that the texts are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Edges that one task unites at most (about 200 bytes each).
@@ -121,44 +123,55 @@ def estimated(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str, key: str) -> DataFrame:
-    """Of (a, b), those whose full sets have 100 * intersection >= percent * union. ``b`` may be a very common pivot."""
-    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALTED).alias("salts"))
-    members = pairs.join(salts, "b").select(F.col("a").alias("key"), F.lit(1).alias("role"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
-    pivots = salts.select(F.col("b").alias("key"), F.lit(0).alias("role"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    wanted = common.written(members.unionByName(pivots), "wanted")
+    """(a, b) with 100 * intersection >= percent * union on full sets, for candidates (a, b).
+
+    Candidates that hang together are a family. Its pivots (b) and members (a) are dealt into blocks of bounded size, so
+    a set travels once for each block it takes part in and not once for each pair.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    family = common.written(components(pairs), "families").toDF("key", "family")
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(1).alias("role")), F.struct(F.col("b").alias("key"), F.lit(0).alias("role")))).alias("s")).select("s.*").distinct().join(family, "key")
+    sizes = sides.groupBy("family").agg(F.ceil(F.count_if(F.col("role") == 0) / PIVOTS).alias("parts"), F.ceil(F.count_if(F.col("role") == 1) / SALTED).alias("salts"))
+    dealt = sides.join(sizes, "family")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    one = lambda n: F.array(F.pmod(F.xxhash64("key"), F.col(n)))
+    is_pivot = F.col("role") == 0
+    wanted = dealt.withColumn("part", F.explode(F.when(is_pivot, one("parts")).otherwise(every("parts")))).withColumn("salt", F.explode(F.when(is_pivot, every("salts")).otherwise(one("salts"))))
+    wanted = common.written(wanted.select("key", "role", "family", "part", "salt"), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "key")
-    kind = docs.schema[key].dataType.simpleString()
 
     def sets(batches):
         for batch in batches:
             out = [None] * batch.num_rows
-            for row, own in shingle_sets(batch.column(4), k):
+            for row, own in shingle_sets(batch.column(5), k):
                 out[row] = own.tobytes()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(out, pa.binary())], names=["key", "role", "b", "salt", "own"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(5)), pa.array(out, pa.binary())], names=["key", "role", "family", "part", "salt", "own"])
 
     def compare(batches):
-        at, known = None, []
+        at, pivots = None, []
         for batch in batches:
-            keys, roles, bs, salts, owns = (batch.column(c).to_pylist() for c in range(5))
-            hits = []
+            block = list(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True))
+            keys, roles, owns = (batch.column(c).to_pylist() for c in (0, 1, 5))
+            hits: list[tuple] = []
             for i in range(batch.num_rows):
                 own = np.frombuffer(owns[i] or b"", np.uint64)
-                if (bs[i], salts[i]) != at:
-                    at, known = (bs[i], salts[i]), []
+                if block[i] != at:
+                    at, pivots = block[i], []
                 if not roles[i]:
-                    known.append(own)
+                    pivots.append((keys[i], own))
                     continue
-                for other in known:
-                    both = int((other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own).sum()) if len(other) and len(own) else 0
-                    if both and 100 * both >= percent * (len(own) + len(other) - both):
-                        hits.append(i)
-                        break
+                for other, known in pivots:
+                    n, m = len(own), len(known)
+                    if other != keys[i] and n and m and 100 * min(n, m) >= percent * max(n, m):
+                        both = int((known[np.minimum(np.searchsorted(known, own), m - 1)] == own).sum())
+                        if 100 * both >= percent * (n + m - both):
+                            hits.append((keys[i], other))
             if hits:
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hits)) for c in (0, 2)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([h[c] for h in hits], batch.schema.types[0]) for c in (0, 1)], names=["a", "b"])
 
-    rows = texts.select("key", "role", "b", "salt", "text").mapInArrow(sets, f"key {kind}, role int, b {kind}, salt long, own binary")
-    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "role").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    rows = texts.select("key", "role", "family", "part", "salt", "text").mapInArrow(sets, f"key {kind}, role int, family {kind}, part long, salt long, own binary")
+    return rows.repartition("family", "part", "salt").sortWithinPartitions("family", "part", "salt", "role").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def _united(batches):
@@ -216,31 +229,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     nodes = members.select("key").distinct()
     own = common.written(classes.select("key", "n", "regs").join(nodes, "key", "left_semi"), "candidates")
     comps = common.written(nodes.withColumn("comp", F.col("key")).withColumn("likeness", F.lit(0.0)), "comps")
-    links = None
+    turn = 0
     while True:
         placed = members.join(comps, "key")
-        best = F.max_by(F.struct("key", "comp"), F.struct("likeness", F.xxhash64("key"))).alias("pivot")
-        split = common.written(placed.groupBy("bucket").agg(best, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket", F.col("pivot.key").alias("b"), F.col("pivot.comp").alias("comp_b")), "split")
+        parts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("likeness", F.xxhash64("key"), "key")).alias("best"))
+        split = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.max("best").alias("best"), (F.sum("m") - F.max("m")).alias("minor"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        split = common.written(split.select("bucket", "major", F.col("best.key").alias("centre"), "minor"), "split")
         if split.isEmpty():
             break
-        met = common.written(placed.join(split, "bucket").where(F.col("key") != F.col("b")).select("bucket", F.col("key").alias("a"), "b", F.col("comp") != F.col("comp_b")).toDF("bucket", "a", "b", "apart"), "met")
-        members = met.select("bucket", F.col("a").alias("key"))
-        edges = common.written(estimated(met.where("apart").select("a", "b").distinct(), own), "estimates")
-        likeness = edges.groupBy("a").agg(F.avg("estimate").alias("seen"))
-        edges = edges.where(F.col("estimate") >= ESTIMATE)
-        first = edges.groupBy("a").agg(F.max_by("b", F.struct("estimate", F.xxhash64("b"))).alias("b"))
-        for some in (first, edges):  # each member's likeliest pivot; then what still is in different components
+        # The centre is a pivot, and from the second round on members outside of the bucket's largest component.
+        lot = F.xxhash64(F.lit(turn), "key", "bucket").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+        drawn = (F.col("comp") != F.col("major")) & (lot < F.lit(FIRST * 2.0 ** (turn - 1)) / F.col("minor")) if turn else F.lit(False)
+        met = common.written(placed.join(split, "bucket").select("bucket", "key", "comp", ((F.col("key") == F.col("centre")) | drawn).alias("pivot")), "met")
+        pivots = met.where("pivot").select("bucket", F.col("key").alias("b"), F.col("comp").alias("comp_b"))
+        apart = met.join(pivots, "bucket").where("comp <> comp_b").select(F.col("key").alias("a"), "b").distinct()
+        edges = common.written(estimated(apart, own), "estimates")
+        members = met.where("not pivot").select("bucket", "key")
+        todo = common.written(edges.where(F.col("estimate") >= ESTIMATE).select("a", "b"), "todo")
+        if not todo.isEmpty():
             comp = comps.select("key", "comp")
-            todo = some.select("a", "b").join(comp.toDF("a", "comp_a"), "a").join(comp.toDF("b", "comp_b"), "b").where("comp_a <> comp_b").select("a", "b")
-            todo = common.written(todo, "todo")
-            if todo.isEmpty():
-                continue
-            found = common.written(verified(todo, docs, k, percent, text, key), "links")
-            links = found if links is None else links.unionByName(found)
-            joined = found.join(comp.toDF("a", "x"), "a").join(comp.toDF("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-            merged = components(joined).toDF("comp", "to")
-            comps = common.written(comps.join(merged, "comp", "left").select("key", F.coalesce("to", "comp").cast(kind).alias("comp"), "likeness"), "comps")
-        comps = common.written(comps.join(likeness.withColumnRenamed("a", "key"), "key", "left").select("key", "comp", F.greatest("likeness", F.coalesce("seen", F.lit(0.0))).alias("likeness")), "comps")
+            found = verified(todo, docs, k, percent, text, key).join(comp.toDF("a", "x"), "a").join(comp.toDF("b", "y"), "b")
+            links = common.written(found.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+            merged = components(links).toDF("comp", "to")
+            comps = comps.join(merged, "comp", "left").select("key", F.coalesce("to", "comp").cast(kind).alias("comp"), "likeness")
+        likeness = edges.groupBy("a").agg(F.avg("estimate").alias("seen")).withColumnRenamed("a", "key")
+        comps = common.written(comps.join(likeness, "key", "left").select("key", "comp", F.greatest("likeness", F.coalesce("seen", F.lit(0.0))).alias("likeness")), "comps")
+        turn += 1
     reached = classes.join(comps.select("key", "comp"), "key", "left").select("hash", F.coalesce("comp", "key").alias("comp"))
     # Many rows of one hash stream past a single row of its class.
     out = sketched.join(reached.hint("shuffle_hash"), "hash", "left")
