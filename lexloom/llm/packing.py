@@ -33,7 +33,7 @@ from . import common
 CAPACITY = 2048
 END_ID = 0
 #: Rows that one task ranks at most, as expected.
-RANKED = 50_000
+RANKED = 500
 _CACHE_ENTRIES = 800_000
 _tokenizers: dict[str, tuple] = {}
 

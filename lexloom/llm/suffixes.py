@@ -90,7 +90,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFra
 
     ``ahead`` runs in the sorting direction, ``aside`` the other way, nearest word first; both are padded to full length.
     """
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("stretch", "salt", "side", "pos")).alias("at"))  # one document's own positions
+    lists = wanted.groupBy("key").agg(F.collect_set(F.struct("stretch", "salt", "side", "pos")).alias("at"))  # one document's own positions
     kind = docs.schema[key].dataType.simpleString()
     joined = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(lists, "key").select("key", "text", "at")
     schema = pa.schema([("stretch", pa.int64()), ("salt", pa.int32()), ("side", pa.int32()), ("pos", pa.int32()), ("ahead", pa.binary()), ("n_ahead", pa.int32()), ("aside", pa.binary()), ("n_aside", pa.int32())])
@@ -202,7 +202,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     kept = common.written(positions(docs, text, key), "suffixes")
     again = kept.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = again.select("stretch", F.ceil(F.col("n") / GROUP).cast("long").alias("salts"))
-    wanted = kept.join(groups, "stretch").select("stretch", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), "side", "key", "pos").distinct()
+    wanted = kept.join(groups, "stretch").select("stretch", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), "side", "key", "pos")  # no sort or sum above this join: a common stretch's rows may be split
     found = matches(contexts(docs, wanted, text, key))
     own = Window.partitionBy("key").orderBy("start", "end")
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
