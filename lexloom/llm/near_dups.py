@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
         if split.isEmpty():
             break
         # The centre is a pivot, and from the second round on members outside of the bucket's largest component.
-        lot = F.xxhash64(F.lit(turn), "key", "bucket").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+        lot = F.xxhash64(F.lit(turn), "key").cast("double") / F.lit(2.0**64) + F.lit(0.5)
         drawn = (F.col("comp") != F.col("major")) & (lot < F.lit(FIRST * 2.0 ** (turn - 1)) / F.col("minor")) if turn else F.lit(False)
         met = common.written(placed.join(split, "bucket").select("bucket", "key", "comp", ((F.col("key") == F.col("centre")) | drawn).alias("pivot")), "met")
         pivots = met.where("pivot").select("bucket", F.col("key").alias("b"), F.col("comp").alias("comp_b"))
