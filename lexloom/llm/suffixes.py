@@ -1,14 +1,14 @@
 """Repeated passages by a sparse suffix array.
 
 Of a text's suffixes (by words) only those at minimisers stay: the word positions whose 8-word hash is the smallest of some
-43 in a row. Every run of 50 words holds one, and equal runs hold the same one. A match of 50 words around a kept position
-spans at least 25 words to its right or at least 26 to its left (and the position's own 8), so a position goes on only if
-one of these two stretches occurs again anywhere. Positions with an equal stretch are sorted by the words that follow it
-(to the right, or to the left) and compared with their neighbours in that order, and in the order of the other side;
-each comparison is extended word by word to the left and right. Matches of ``MIN_WORDS`` or more are merged into spans.
+43 in a row. Every run of 50 words belongs to the one position that is its own minimiser, and equal runs belong to the same
+one. A run of 50 words spans at least 25 words to the right of its position or at least 26 to the left (and the position's
+own 8), so it goes on only if that stretch occurs again anywhere. Within the positions of an equal stretch all their runs
+of 50 words are grouped by hash, each by its own reach to the left and right; runs that occur again are merged into spans.
 
-Two passes over the text. Positions travel as hashes; only those whose stretch repeats get their context. A stretch that
-occurs very often is dealt into salted groups, each sorted and compared in its own task as a stream with bounded memory.
+Two passes over the text. Positions travel as hashes; only those whose stretch repeats get the hashes of their runs. A
+stretch that occurs very often is dealt into salted groups, each grouped in its own task as a stream with bounded memory; a
+second round joins the salts: one row of each different run of each salt, and those that met no copy in theirs.
 
 A span counts wherever its words occur again: in another document or elsewhere in its own. Words are compared as they are
 written, whatever white space lies between them.
@@ -29,16 +29,14 @@ from . import common
 MIN_WORDS, K = 50, 8
 WINDOW = MIN_WORDS - K + 1
 RIGHT, LEFT = MIN_WORDS // 2, MIN_WORDS - MIN_WORDS // 2 + 1
-#: Words of context beyond the shared stretch, in the sorting direction and in the other: right groups, left groups.
-CONTEXT = {0: (MIN_WORDS - RIGHT, MIN_WORDS - K), 1: (MIN_WORDS - K - LEFT, RIGHT - K)}
-#: Members of a group of equal stretches before it is salted; neighbours compared on each side.
-GROUP, REACH = 4096, 4
+#: Members of a group of equal stretches before it is salted.
+GROUP = 4096
 _BLOCK = 1 << 22
 _INDEX = np.uint64((1 << 24) - 1)
 
 
 def minimisers(hashes: np.ndarray) -> np.ndarray:
-    """The kept word positions of a text."""
+    """For each run of ``MIN_WORDS`` words of a text, by its start, the position that is its minimiser."""
     out = []
     for start in range(0, max(1, len(hashes) - MIN_WORDS + 1), _BLOCK):
         g = common.grams(hashes[start : start + _BLOCK + MIN_WORDS - 1], K)
@@ -51,15 +49,24 @@ def minimisers(hashes: np.ndarray) -> np.ndarray:
             size *= 2
         if size < WINDOW:
             low = np.minimum(low[: len(low) - (WINDOW - size)], low[WINDOW - size :])
-        out.append(np.unique(low & _INDEX).astype(np.int64) + start)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        out.append((low & _INDEX).astype(np.int64) + start)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def stretches(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, side, hash) of the stretches to the right (side 0) and to the left (side 1) of kept positions."""
-    right, left = at[at + RIGHT <= len(hashes)], at[at >= LEFT]
-    values = np.concatenate([common.window_hashes(hashes, right, RIGHT), common.window_hashes(hashes, left - LEFT, LEFT + K) ^ np.uint64(0x5851F42D4C957F2D)])
-    return np.concatenate([right, left]), np.repeat(np.array([0, 1], np.int32), [len(right), len(left)]), values.view(np.int64)
+def runs_of(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, side, first start, end) of the runs that share a minimiser and lean on its stretch to one side: right 0, left 1."""
+    start = np.arange(len(low))
+    side = (low - start >= LEFT).astype(np.int32)
+    first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (side[1:] != side[:-1])])) if len(low) else start
+    return low[first], side[first], first, np.append(first[1:], len(low))[: len(first)]
+
+
+def stretches(hashes: np.ndarray, at: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """The hashes of the stretches to the right (side 0) or to the left (side 1) of kept positions."""
+    out, right = np.zeros(len(at), np.uint64), side == 0
+    out[right] = common.window_hashes(hashes, at[right], RIGHT)
+    out[~right] = common.window_hashes(hashes, at[~right] - LEFT, LEFT + K) ^ np.uint64(0x5851F42D4C957F2D)
+    return out.view(np.int64)
 
 
 def positions(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -73,11 +80,11 @@ def positions(docs: DataFrame, text: str, key: str) -> DataFrame:
                 hashes, first = common.word_hashes(data, bounds, lower=False)
                 for i in np.flatnonzero(np.diff(first) >= MIN_WORDS):
                     own = hashes[first[i] : first[i + 1]]
-                    p, s, v = stretches(own, minimisers(own))
+                    p, s, _, _ = runs_of(minimisers(own))
                     rows.append(np.full(len(p), start + i))
                     pos.append(p)
                     side.append(s)
-                    value.append(v)
+                    value.append(stretches(own, p, s))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value)), pa.array(np.concatenate(side)), keys.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(pos).astype(np.int32))], names=["stretch", "side", "key", "pos"])
 
@@ -86,115 +93,115 @@ def positions(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """(stretch, salt, side, key, pos, ahead, n_ahead, aside, n_aside): the words beyond each wanted position's stretch.
-
-    ``ahead`` runs in the sorting direction, ``aside`` the other way, nearest word first; both are padded to full length.
-    """
-    lists = wanted.groupBy("key").agg(F.collect_set(F.struct("stretch", "salt", "side", "pos")).alias("at"))  # one document's own positions
+    """(key, stretch, salt, salted, first, runs): for each wanted position the hashes of its runs, the first from ``first`` on."""
+    lists = wanted.groupBy("key").agg(F.collect_set(F.struct("stretch", "salt", "salted", "side", "pos")).alias("at"))  # one document's own positions
     kind = docs.schema[key].dataType.simpleString()
     joined = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(lists, "key").select("key", "text", "at")
-    schema = pa.schema([("stretch", pa.int64()), ("salt", pa.int32()), ("side", pa.int32()), ("pos", pa.int32()), ("ahead", pa.binary()), ("n_ahead", pa.int32()), ("aside", pa.binary()), ("n_aside", pa.int32())])
-
-    def gather(words: np.ndarray, begin: np.ndarray, step: int, size: int) -> tuple[list[bytes], np.ndarray]:
-        """Up to ``size`` words from each begin on, in steps of 1 or -1."""
-        index = begin[:, None] + step * np.arange(size)
-        inside = (index >= 0) & (index < len(words))
-        taken = np.where(inside, words[np.clip(index, 0, len(words) - 1)], 0).astype("<u4")
-        raw = taken.tobytes()
-        return [raw[i * 4 * size : (i + 1) * 4 * size] for i in range(len(begin))], inside.sum(1).astype(np.int32)
 
     def extract(batches):
         for batch in batches:
             at = batch.column(2)
             flat, offsets = at.flatten(), np.concatenate([[0], np.cumsum(np.array([len(x) for x in at]))])
-            stretch, salt, side, pos = (flat.field(i).to_numpy() for i in range(4))
+            stretch, salt, salted, side, pos = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             for start, end, data, bounds in common.text_chunks(batch.column(1)):
                 hashes, first = common.word_hashes(data, bounds, lower=False)
-                words = (hashes >> np.uint64(32)).astype(np.uint32)
-                out = []
+                who, rows, starts, runs = [], [], [], []
                 for i in range(end - start):
-                    own, a, b = words[first[i] : first[i + 1]], offsets[start + i], offsets[start + i + 1]
-                    for s in (0, 1):
-                        rows = a + np.flatnonzero(side[a:b] == s)
-                        if not len(rows):
-                            continue
-                        p = pos[rows].astype(np.int64)
-                        ok = p < len(own)  # a key that several rows share may name positions of another text
-                        rows, p = rows[ok], p[ok]
-                        ahead = gather(own, p + RIGHT, 1, CONTEXT[0][0]) if not s else gather(own, p - LEFT - 1, -1, CONTEXT[1][0])
-                        aside = gather(own, p - 1, -1, CONTEXT[0][1]) if not s else gather(own, p + K, 1, CONTEXT[1][1])
-                        out.append((np.full(len(rows), start + i), rows, *ahead, *aside))
-                if out:
-                    who, rows = (np.concatenate([x[c] for x in out]) for c in (0, 1))
-                    columns = [pa.array(stretch[rows]), pa.array(salt[rows]), pa.array(side[rows]), pa.array(pos[rows])]
-                    columns += [pa.array([y for x in out for y in x[c]], pa.binary()) if c in (2, 4) else pa.array(np.concatenate([x[c] for x in out])) for c in (2, 3, 4, 5)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), *columns], names=["key", *schema.names])
-
-    return joined.mapInArrow(extract, f"key {kind}, stretch long, salt int, side int, pos int, ahead binary, n_ahead int, aside binary, n_aside int")
-
-
-def common_prefix(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """How many leading columns agree, row by row, ``n`` at most."""
-    differ = a != b
-    first = np.where(differ.any(1), differ.argmax(1), a.shape[1])
-    return np.minimum(first, n)
-
-
-def compare(rows: dict[str, np.ndarray], side: int, order: np.ndarray, best: np.ndarray, partner: np.ndarray) -> None:
-    """Compare each row with its next neighbours in an order; ``best`` gets the longest reach to the left and right."""
-    keys, ahead, aside = rows["key"], rows["ahead"], rows["aside"]
-    for d in range(1, REACH + 1):
-        i, j = order[:-d], order[d:]
-        met = (rows["stretch"][i] == rows["stretch"][j]) & (rows["salt"][i] == rows["salt"][j]) & ((keys[i] != keys[j]) | (rows["pos"][i] != rows["pos"][j]))
-        i, j = i[met], j[met]
-        if not len(i):
-            continue
-        x = common_prefix(ahead[i], ahead[j], np.minimum(rows["n_ahead"][i], rows["n_ahead"][j]))
-        y = common_prefix(aside[i], aside[j], np.minimum(rows["n_aside"][i], rows["n_aside"][j]))
-        right, left = (RIGHT + x, y) if not side else (K + y, LEFT + x)
-        good = right + left >= MIN_WORDS
-        for a, b in ((i, j), (j, i)):
-            a, b, far, near = a[good], b[good], right[good], left[good]
-            longer = (far + near > best[a].sum(1)) | (partner[a] < 0)
-            partner[a[longer]] = b[longer]
-            np.maximum.at(best[:, 0], a, near)
-            np.maximum.at(best[:, 1], a, far)
+                    own, a, b = hashes[first[i] : first[i + 1]], offsets[start + i], offsets[start + i + 1]
+                    if len(own) < MIN_WORDS or a == b:
+                        continue
+                    p, s, begin, stop = runs_of(minimisers(own))
+                    name = p * 2 + s  # in order: equal minimisers are neighbours, and the left runs' starts come first
+                    order = np.argsort(name)
+                    want = pos[a:b].astype(np.int64) * 2 + side[a:b]
+                    found = order[np.minimum(np.searchsorted(name, want, sorter=order), len(name) - 1)]
+                    ok = np.flatnonzero((name[found] == want) & (stretches(own, p, s)[found] == stretch[a:b]))  # a key that several rows share may name positions of another text
+                    found = found[ok]
+                    raw = common.window_hashes(own, np.arange(len(own) - MIN_WORDS + 1), MIN_WORDS).tobytes()
+                    who.append(np.full(len(ok), start + i))
+                    rows.append(a + ok)
+                    starts.append(begin[found])
+                    runs += [raw[8 * x : 8 * y] for x, y in zip(begin[found].tolist(), stop[found].tolist(), strict=True)]
+                if runs:
+                    rows = np.concatenate(rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(who))), pa.array(stretch[rows]), pa.array(salt[rows]), pa.array(salted[rows]), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(runs, pa.binary())], names=["key", "stretch", "salt", "salted", "first", "runs"])
+
+    return joined.mapInArrow(extract, f"key {kind}, stretch long, salt int, salted boolean, first int, runs binary")
 
 
 def matches(context: DataFrame) -> DataFrame:
-    """(key, start, end, other): for each position with a match, its reach in words and the document of the longest match."""
+    """(key, start, end, other, run, met): the parts of each position's runs that occur again in its group, and a document where.
+
+    Of salted groups also one row for each different run (``run`` is its hash); ``met`` tells whether it met a copy there.
+    """
     kind = context.schema["key"].dataType.simpleString()
 
     def walk(batches):
-        held = None
+        held, size = [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            yield from found(table)
-            held = table.slice(max(0, table.num_rows - REACH))  # the next batch's first rows have these as neighbours
+            held.append(batch)
+            size += batch.num_rows
+            if size < 2 * GROUP:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            stretch, salt = table.column("stretch").to_numpy(), table.column("salt").to_numpy()
+            change = np.flatnonzero((stretch[1:] != stretch[:-1]) | (salt[1:] != salt[:-1]))
+            if len(change):  # whole groups only; the last one goes on
+                yield from found(table.slice(0, change[-1] + 1))
+                table = table.slice(change[-1] + 1)
+            held, size = table.to_batches(), table.num_rows
+        if size:
+            yield from found(pa.Table.from_batches(held))
 
     def found(table: pa.Table):
-        sides = table.column("side").to_numpy()
-        for side in (0, 1):
-            own = table.take(pa.array(np.flatnonzero(sides == side)))
-            if own.num_rows < 2:
-                continue
-            whole = {c: own.column(c).to_numpy() for c in ("stretch", "salt", "pos", "n_ahead", "n_aside")}
-            whole["key"] = own.column("key").to_numpy(zero_copy_only=False)
-            for c, size in zip(("ahead", "aside"), CONTEXT[side], strict=True):
-                whole[c] = np.frombuffer(b"".join(own.column(c).to_pylist()), "<u4").reshape(-1, size)
-            best, partner = np.zeros((own.num_rows, 2), np.int64), np.full(own.num_rows, -1, np.int64)
-            compare(whole, side, np.arange(own.num_rows), best, partner)
-            cells = (whole["stretch"].astype(">i8"), whole["salt"].astype(">i4"), whole["aside"].astype(">u4"))
-            bytes_ = np.concatenate([np.ascontiguousarray(x).view(np.uint8).reshape(own.num_rows, -1) for x in cells], axis=1)
-            compare(whole, side, np.argsort(np.ascontiguousarray(bytes_).view(f"V{bytes_.shape[1]}").ravel(), kind="stable"), best, partner)
-            hit = np.flatnonzero(partner >= 0)
-            if len(hit):
-                keys = own.column("key").combine_chunks()
-                p = whole["pos"][hit].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(hit)), pa.array(p - best[hit, 0]), pa.array(p + best[hit, 1]), keys.take(pa.array(partner[hit]))], names=["key", "start", "end", "other"])
-
-    dealt = context.repartition("stretch", "salt").sortWithinPartitions("stretch", "salt", "side", "ahead", "key", "pos")
-    return dealt.mapInArrow(walk, f"key {kind}, start long, end long, other {kind}")
+        keys = pa.concat_arrays(table.column("key").chunks)
+        code = keys.dictionary_encode().indices.to_numpy().astype(np.int64)
+        pieces = table.column("runs").to_pylist()
+        first, salted = table.column("first").to_numpy(), table.column("salted").to_numpy()
+        run = np.frombuffer(b"".join(pieces), np.uint64)
+        many = np.array([len(x) // 8 for x in pieces])
+        row = np.repeat(np.arange(len(many)), many)
+        start = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many) + first[row]
+        place = (code[row] << 32) | start
+        order = np.lexsort((place, run))
+        ranked, there = run[order], place[order]
+        head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        tail = np.append(head[1:], len(ranked)) - 1
+        group = np.repeat(np.arange(len(head)), tail - head + 1)
+        again = there[head] != there[tail]
+        # The partner: the first of the group, for the first itself the last; a document other than its own, if an end is one.
+        lowest, highest = head[group], tail[group]
+        partner = np.where(there[lowest] >> 32 == there >> 32, highest, lowest)
+        hit, other = np.zeros(len(run), bool), np.zeros(len(run), np.int64)
+        hit[order], other[order] = again[group], row[order][partner]
+        # Neighbouring runs of a row with the same partner are one stretch of words.
+        fresh = np.ones(len(run), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (hit[1:] != hit[:-1]) | (code[other[1:]] != code[other[:-1]])
+        begin = np.flatnonzero(fresh)
+        last = np.append(begin[1:], len(run)) - 1
+        begin, last = begin[hit[begin]], last[hit[begin]]
+        if len(begin):
+            none = len(begin)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[begin])), pa.array(start[begin].astype(np.int64)), pa.array(start[last].astype(np.int64) + MIN_WORDS), keys.take(pa.array(other[begin])), pa.nulls(none, pa.int64()), pa.nulls(none, pa.bool_())], names=names)
+        one = order[head]
+        kept = salted[row[one]]
+        if kept.any():
+            one, met = one[kept], again[kept]
+            at = start[one].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[one])), pa.array(at), pa.array(at + MIN_WORDS), pa.nulls(len(one), keys.type), pa.array(run[one].view(np.int64)), pa.array(met)], names=names)
+
+    names = ["key", "start", "end", "other", "run", "met"]
+    dealt = context.repartition("stretch", "salt").sortWithinPartitions("stretch", "salt")
+    return dealt.mapInArrow(walk, f"key {kind}, start long, end long, other {kind}, run long, met boolean")
+
+
+def across_salts(single: DataFrame) -> DataFrame:
+    """(key, start, end, other) of the runs that met no copy in their own salt, but meet one in another."""
+    same = Window.partitionBy("run")
+    place = F.struct("key", "start")
+    ends = single.withColumn("low", F.min(place).over(same)).withColumn("high", F.max(place).over(same))
+    other = F.when(F.col("low.key") == F.col("key"), F.col("high.key")).otherwise(F.col("low.key"))
+    return ends.where("not met and low <> high").select("key", "start", "end", other.alias("other"))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -202,8 +209,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     kept = common.written(positions(docs, text, key), "suffixes")
     again = kept.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = again.select("stretch", F.ceil(F.col("n") / GROUP).cast("long").alias("salts"))
-    wanted = kept.join(groups, "stretch").select("stretch", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), "side", "key", "pos")  # no sort or sum above this join: a common stretch's rows may be split
-    found = matches(contexts(docs, wanted, text, key))
+    salt = F.pmod(F.xxhash64("key", "pos"), F.col("salts")).cast("int")
+    wanted = kept.join(groups, "stretch").select("stretch", salt.alias("salt"), (F.col("salts") > 1).alias("salted"), "side", "key", "pos")  # no sort or sum above this join: a common stretch's rows may be split
+    rows = common.written(matches(contexts(docs, wanted, text, key)), "matches")
+    found = rows.where("met is null").select("key", "start", "end", "other").unionByName(across_salts(rows.where("met is not null")))
     own = Window.partitionBy("key").orderBy("start", "end")
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     islands = found.withColumn("fresh", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))

@@ -428,6 +428,30 @@ def test_repeated_spans(spark, docs, texts, none):
     assert suffixes.repeated_spans(none).count() == 0 and suffixes.repeated_spans(docs).count() > 0
 
 
+def spans_by_key(df):
+    out = collections.defaultdict(set)
+    for r in rows(suffixes.repeated_spans(df)):
+        out[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    return dict(out)
+
+
+def test_repeated_spans_across_salts(spark, monkeypatch):
+    """Pairs of documents around a boilerplate that is in far more documents than a salted group holds."""
+    monkeypatch.setattr(suffixes, "GROUP", 4)
+    rng = random.Random(12)
+    some = lambda n: [f"v{rng.random():.12f}" for _ in range(n)]
+    licence, whole = some(45), {}
+    for n in range(60):
+        ahead, aside = some(10), some(10)
+        for c in range(2):
+            whole[2 * n + c] = " ".join(some(7) + ahead + licence + aside + some(7))
+    everywhere = some(60)
+    for n in range(40):
+        whole[1000 + n] = " ".join(some(n % 9) + everywhere + some(5))
+    df = spark.createDataFrame(list(whole.items()), "doc_id long, text string").repartition(4)
+    assert spans_by_key(df) == dict(plain_repeats(whole))
+
+
 def test_empty_tables(none):
     assert quality.assess(none).count() == 0 and quality.keep_good(none).count() == 0
     assert near_dups.near_duplicates(none).count() == 0 and near_dups.keep_one(none).count() == 0
