@@ -452,6 +452,18 @@ def test_repeated_spans_across_salts(spark, monkeypatch):
     assert spans_by_key(df) == dict(plain_repeats(whole))
 
 
+def test_repeated_spans_that_need_both_sides(spark):
+    """Page types of 20 intros and 20 outros around a common core: a match is 5 + 40 + 5 words, and many share either side."""
+    rng = random.Random(13)
+    some = lambda n: [f"v{rng.random():.12f}" for _ in range(n)]
+    intros, outros, core, whole = [some(5) for _ in range(20)], [some(5) for _ in range(20)], some(40), {}
+    for i in range(400):
+        for c in range(2):
+            whole[2 * i + c] = " ".join(some(6) + intros[i // 20] + core + outros[i % 20] + some(6))
+    df = spark.createDataFrame(list(whole.items()), "doc_id long, text string").repartition(4)
+    assert spans_by_key(df) == dict(plain_repeats(whole))
+
+
 def test_empty_tables(none):
     assert quality.assess(none).count() == 0 and quality.keep_good(none).count() == 0
     assert near_dups.near_duplicates(none).count() == 0 and near_dups.keep_one(none).count() == 0
