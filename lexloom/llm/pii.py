@@ -10,8 +10,10 @@ exactly the leftmost non-overlapping matches of
 - phone ``\\+[0-9][\\x20().0-9-]+[0-9]``, 8 to 15 digits
 
 (a match that fails its check is dropped, and the search goes on behind it). Beyond these, schemes and cues give
-``url`` (an address with a user part), ``iban`` (mod 97), ``key`` (access key ids) and ``secret`` (values after
-``password=`` and the like). Positions are code points, the end exclusive.
+``url`` (an address with a user part), ``iban`` (by country code, length and mod 97), ``key`` (access key ids) and
+``secret`` (values of identifiers such as ``password``, in any case, behind ``=`` or ``:`` with spaces and quotes as they
+come; at least 6 characters). A value without quotes that stands apart from its ``=`` or behind a colon may be prose, so it
+needs a digit, or a capital behind a small letter. Positions are code points, the end exclusive.
 
 Rows are judged one by one, by a plain map: null texts are empty, repeated rows repeat, other columns pass untouched.
 """
@@ -19,6 +21,7 @@ Rows are judged one by one, by a plain map: null texts are empty, repeated rows
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 
@@ -36,10 +39,19 @@ LABEL = LETTERS | DIGITS | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
-SECRET_CUES = ("password=", "passwd=", "pwd=", "secret=", "api_key=", "apikey=", "token=")
+SECRET_CUES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "secret_key", "private_key")
 KEY_CUES = ("AKIA", "ASIA")
-IBAN_CUES = ("IBAN", "iban")
+#: The length of an IBAN by country.
+IBANS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BI=27, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DJ=27, DK=18, DO=28,
+    EE=20, EG=29, ES=24, FI=18, FK=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HN=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26,
+    IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MN=20, MR=27, MT=31, MU=30, NI=28,
+    NL=18, NO=15, OM=23, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, RU=33, SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, SO=23, ST=25,
+    SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20, YE=30,
+    AO=25, BF=28, BJ=28, CF=27, CG=27, CI=28, CM=27, CV=25, DZ=26, GA=27, GQ=27, GW=25, IR=26, KM=27, MA=28, MG=27, ML=28, MZ=25, NE=28, SN=28, TD=27, TG=28,
+)
 SPACES = frozenset(" \t\n\r\x0b\x0c")
+QUOTES = frozenset("\"'`")
 _automaton = None
 
 
@@ -50,9 +62,12 @@ def automaton():
         import ahocorasick
 
         _automaton = ahocorasick.Automaton()
-        for kind, cues in (("@", "@"), ("+", "+"), ("0", DIGITS), ("url", SCHEMES), ("secret", SECRET_CUES), ("key", KEY_CUES), ("iban", IBAN_CUES)):
+        for kind, cues in (("@", "@"), ("+", "+"), ("0", DIGITS), ("url", SCHEMES), ("key", KEY_CUES), ("iban", IBANS)):
             for cue in cues:
                 _automaton.add_word(cue, (kind, len(cue)))
+        for cue in SECRET_CUES:
+            for spelt in itertools.product(*({c, c.upper()} for c in cue)):  # in any case
+                _automaton.add_word("".join(spelt), ("secret", len(cue)))
         _automaton.make_automaton()
     return _automaton
 
@@ -135,19 +150,21 @@ def expand_url(text: str, start: int, after: int) -> tuple[int, int] | None:
     return (start, end) if "@" in host[1:] else None
 
 
-def expand_iban(text: str, after: int) -> tuple[int, int] | None:
-    start = after
-    while start < len(text) and text[start] in " :=":
-        start += 1
-    end, chars = start, []
-    while end < len(text) and (text[end] in UPPER or text[end] in DIGITS or text[end] == " " and end + 1 < len(text) and (text[end + 1] in UPPER or text[end + 1] in DIGITS)) and len(chars) < 34:
-        if text[end] != " ":
-            chars.append(text[end])
-            whole = "".join(chars)
-            if len(chars) >= 15 and re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]+", whole) and int("".join(str(int(c, 36)) for c in whole[4:] + whole[:4])) % 97 == 1:
-                return start, end + 1
+def expand_iban(text: str, start: int) -> tuple[int, int] | None:
+    """From a country code on, the characters in groups that single spaces or hyphens join, as many as the country has."""
+    if start and text[start - 1] in LETTERS | DIGITS or start + 2 >= len(text) or text[start + 2] not in DIGITS:
+        return None
+    end, chars, size = start, [], IBANS[text[start : start + 2]]
+    while len(chars) < size:
+        if end < len(text) and chars and text[end] in " -":
+            end += 1
+        if end >= len(text) or text[end] not in LETTERS | DIGITS:
+            return None
+        chars.append(text[end].upper())
         end += 1
-    return None
+    whole = "".join(chars)
+    alone = end == len(text) or text[end] not in LETTERS | DIGITS
+    return (start, end) if alone and whole[3] in DIGITS and int("".join(str(int(c, 36)) for c in whole[4:] + whole[:4])) % 97 == 1 else None
 
 
 def expand_key(text: str, start: int, after: int) -> tuple[int, int] | None:
@@ -159,10 +176,37 @@ def expand_key(text: str, start: int, after: int) -> tuple[int, int] | None:
 
 
 def expand_secret(text: str, after: int) -> tuple[int, int] | None:
-    end = after
-    while end < len(text) and text[end] not in SPACES and text[end] not in "\"'<>,;":
+    """The value behind an identifier: past its closing quote, spaces, ``=``, ``:``, ``:=`` or ``=>``, and an opening quote."""
+    n, at = len(text), after
+    if at < n and text[at] == "\\":  # quotes within a quoted text
+        at += 1
+    if at < n and text[at] in QUOTES:
+        at += 1
+    at = _run(text, at, SPACES)
+    if at >= n or text[at] not in "=:":
+        return None
+    sign = at
+    at = _run(text, at, frozenset("=:>"))
+    close = at == after + 1 and text[sign] == "="
+    at = _run(text, at, SPACES)
+    close &= at == sign + 1
+    if at < n and text[at] == "\\":
+        at += 1
+    if at < n and text[at] in QUOTES:
+        quote, start = text[at], at + 1
+        end = start
+        while end < n and text[end] not in "\n\r" and text[end] != quote:
+            end += 2 if text[end] == "\\" and end + 1 < n and text[end + 1] == quote and text[start - 2] != "\\" else 1
+        if end < n and text[end] == quote:
+            end -= text[end - 1] == "\\"
+            return (start, end) if end - start >= 6 else None
+        at = start  # no closing quote on the line
+    end = at
+    while end < n and text[end] not in SPACES and text[end] not in "\"'<>,;":
         end += 1
-    return (after, end) if end - after >= 6 else None
+    value = text[at:end]
+    likely = close or any(c in DIGITS for c in value) or re.search("[a-z].*[A-Z]", value)
+    return (at, end) if end - at >= 6 and likely else None
 
 
 def find(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -197,7 +241,7 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
         elif anchor == "url":
             took("url", expand_url(text, start, last + 1))
         elif anchor == "iban":
-            took("iban", expand_iban(text, last + 1))
+            took("iban", expand_iban(text, start))
         elif anchor == "key":
             took("key", expand_key(text, start, last + 1))
         else:

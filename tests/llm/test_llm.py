@@ -285,6 +285,25 @@ def test_pii_query_and_redaction(docs, texts, none):
     assert pii.find("password=b7db7aa4a5fcc78305 x")["secret"] == [(9, 27)]
 
 
+@pytest.mark.parametrize("before, value, after", [('token = "', "04dbebabc1", '" x'), ('TOKEN = "', "9233A8ECF7", '"!!'), ('{"api_key": "', "abc-DEF_gh", '"}'), ("Password: ", "hunter2222", "\n"), ("secret='", "a b, c; d", "' x"), ("PWD :=  `", "qwertyui", "`"), ("access_token=", "abcdefgh", "&x=1"), ('\\"password\\": \\"', "longvalue", '\\"'), ('token = "', "unclosed99", "\n")])
+def test_secrets_in_all_spellings(before, value, after):
+    text = f"some words {before}{value}{after}"
+    a = len("some words ") + len(before)
+    want = value + "&x=1" if after == "&x=1" else value
+    assert [text[x:y] for x, y in pii.find(text)["secret"]] == [want] and pii.find(text)["secret"][0][0] == a
+    assert "[SECRET]" in pii.redacted(text, pii.find(text)) and value not in pii.redacted(text, pii.find(text))
+
+
+def test_no_secrets_in_prose():
+    for text in ("the password: required by all", "a secret, a token and tokens = many", "token = short", 'token = ""'):
+        assert not pii.find(text).get("secret"), text
+
+
+def test_ibans_without_a_cue():
+    assert pii.find("pay to GB82 WEST 1234 5698 7654 32, DE89370400440532013000.")["iban"] == [(7, 34), (36, 58)]
+    assert not pii.find("GB83 WEST 1234 5698 7654 32 XDE89370400440532013000 DE893704004405320130001").get("iban")
+
+
 def test_packing(docs, texts, none):
     from tokenizers import Tokenizer
 
