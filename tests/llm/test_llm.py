@@ -58,6 +58,21 @@ def test_quality_base_and_bands(docs, texts):
     assert sorted(r["doc_id"] or -1 for r in rows(kept)) == sorted(r["doc_id"] or -1 for r in out if r["kept"])
 
 
+def test_copies_do_not_set_the_bands(spark):
+    """A group of copies that holds most of a language; the same texts once each are judged alike."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("aeioulnrstdmp") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(30, 80))) for _ in range(40)]
+    hot = "this page has moved, please follow the link below to the new address of our site " * 2 + "and update all your bookmarks now"
+    whole = [*texts, *[hot] * 400]
+    frame = lambda x: spark.createDataFrame([(i, t, "en") for i, t in enumerate(x)], "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in rows(quality.assess(frame(whole)))}
+    once = {r["doc_id"]: r for r in rows(quality.assess(frame([*texts, hot])))}
+    assert len(got) == len(whole)
+    for i in range(len(texts)):
+        assert got[i] == once[i] and got[i]["kept"]
+
+
 def test_quality_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     code = np.unique(rng.integers(0, 32**4, 3000))
