@@ -73,6 +73,21 @@ def test_copies_do_not_set_the_bands(spark):
         assert got[i] == once[i] and got[i]["kept"]
 
 
+@pytest.mark.parametrize("lang, first, letters, least, most", [("ru", 0x430, 32, 3, 9), ("el", 0x3B1, 25, 3, 9), ("th", 0xE01, 58, 3, 9), ("ko", 0xAC00, 900, 2, 4), ("zh", 0x4E00, 900, 8, 12), ("ka", 0x10D0, 33, 3, 9)])
+def test_random_letters_of_any_script_go(spark, lang, first, letters, least, most):
+    """Texts of a vocabulary stay; random letters of the same words' lengths, from the same letters, go (noise is 1% of the corpus: a small model learns more of it)."""
+    rng = random.Random(6)
+    alphabet = [chr(first + i) for i in range(letters)]
+    weights = [1 / (i + 3) for i in range(letters)]
+    vocabulary = ["".join(rng.choices(alphabet, weights, k=rng.randint(least, most))) for _ in range(250)]
+    texts = [[rng.choice(vocabulary) for _ in range(120)] for _ in range(300)]
+    noise = [["".join(rng.choice(alphabet) for _ in w) for w in t] for t in texts[:3]]
+    other = [["plain", "latin", "words"] * 10] * 3
+    data = [(i, " ".join(t), lang) for i, t in enumerate([*texts, *noise])] + [(1000 + i, " ".join(t), None) for i, t in enumerate(other)]
+    got = {r["doc_id"]: r["kept"] for r in rows(quality.assess(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)))}
+    assert all(got[i] for i in range(300)) and not any(got[300 + i] for i in range(3))
+
+
 def test_quality_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     code = np.unique(rng.integers(0, 32**4, 3000))
