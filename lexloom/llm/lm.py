@@ -1,13 +1,13 @@
 """Language-model scores: a gated recurrent network in numpy with a class-factored softmax, beside a smoothed unigram base.
 
 Vocabulary: Spark counts every token of the training documents (those whose crc32 of the key, as text, is not 0 modulo 10).
-The 1,024 most frequent words form 32 classes by rank; every other word belongs to one of 32 classes that its last two
+The 1,024 most frequent words form 32 classes by rank; every other word belongs to one of 48 classes that its last two
 bytes name. The network reads the previous token (a frequent word, or a class), and predicts the next token's class and,
 in the frequent classes, the word within it, both by softmax from its state; within the other classes a word has its
 smoothed share of the class, with room for words never seen, so the probabilities of all tokens sum to one.
 
 Training: every training document is read once, in rounds that hash of the key deals out; in a round each task starts from
-the same weights, runs truncated backpropagation over windows of 16 tokens in up to 512 lanes (the state goes on from window to
+the same weights, runs truncated backpropagation over windows of 16 tokens in up to 128 lanes (the state goes on from window to
 window), and the tasks' weights are averaged by their tokens. The output layer starts at the logarithms of the counted shares, so an
 untrained network equals the class-wise unigram.
 
@@ -33,10 +33,10 @@ from . import common
 SMOOTH = 0.1
 WIDE, DEEP = 32, 32  # frequent classes, words in each
 SHORT = WIDE * DEEP
-TAIL = 32
+TAIL = 48
 CLASSES = WIDE + TAIL
 HIDDEN = 16
-STEPS, LANES, SCORE_LANES = 16, 512, 1024
+STEPS, LANES, SCORE_LANES = 16, 128, 1024
 #: Output weights stay within this, so that no logit overflows.
 BOUND = 4.0
 ROUNDS, RATE = 3, 0.08
@@ -263,7 +263,7 @@ def train_task(start: Network, lex: Lexicon, columns):
         if not len(before):
             continue
         seen += len(before)
-        lanes = max(1, min(LANES, len(before) // (16 * STEPS)))
+        lanes = max(1, min(LANES, len(before) // (4 * STEPS)))
         length = -(-len(before) // lanes)
         pad = lanes * length - len(before)  # the last lane's end: reset rows that no gradient counts
         shape = lambda v, fill: np.concatenate([v, np.full(pad, fill, v.dtype)]).reshape(lanes, length).T  # noqa: B023, E731
@@ -301,7 +301,7 @@ def train(docs: DataFrame, lex: Lexicon, text: str, key: str, rounds: int = ROUN
 
         def learn(batches, shared=shared):
             start, lex = shared.value
-            net, seen = train_task(start, lex, (b.column(0).slice(at, 4000) for b in batches for at in range(0, b.num_rows, 4000)))
+            net, seen = train_task(start, lex, (b.column(0).slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)))
             if seen:
                 flat = net.flat()
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "v", "n"])

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexloom.llm import common, lm, mixing, near_dups, neighbours, packing, pii, quality, sharding, suffixes, warc
@@ -435,6 +436,17 @@ def test_lm_lanes_carry_state_and_gradients():
         assert abs((loss[0] - loss[1]) / 2e-2 - grads[name][index]) < 0.02 * max(1, abs(grads[name][index]))
 
 
+def test_lm_updates_for_its_tokens(monkeypatch):
+    """At least one update of the weights for 2,048 tokens, and 48 classes of rarer words."""
+    lex = lm.Lexicon(100, 10, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(lm.TAIL), np.ones(lm.TAIL), np.ones(lm.SHORT))
+    back, calls = lm.Network.back, []
+    monkeypatch.setattr(lm.Network, "back", lambda self, *a: (calls.append(1), back(self, *a))[1])
+    column = pa.array(["some words of a text that goes on " * 100] * 300)
+    _, seen = lm.train_task(lm.Network.fresh(lex), lex, [column])
+    assert seen == 300 * 801 and len(calls) * 2048 >= seen
+    assert lm.TAIL == 48
+
+
 def plain_repeats(texts, least=50):
     """The words of each text that lie in a run of ``least`` words that occurs elsewhere."""
     where = collections.defaultdict(set)
