@@ -5,7 +5,8 @@ smallest hash of the bucket as leading-zero count (6 bits) and mantissa (10 bits
 that their own permutation names. Documents of equal sets form one class and go on as its smallest key. The compressed
 registers are banded, four to a band: at a similarity of 0.8 a pair misses all 32 bands with probability 5e-8. Pairs whose
 collision-corrected Jaccard estimate is below 0.6 (more than five standard deviations under 0.8) are dropped; the others are
-verified on full sets.
+verified on full sets. A small set's registers are borrowed from a few values, so its pairs go without the estimate: they
+are verified whenever their sizes allow the similarity.
 
 A bucket of a band never gives all its pairs. It has a pivot that all its members are compared with; pivots then leave the
 bucket, and it goes on only while its members lie in different components. Pivots are the member most like earlier pivots
@@ -31,6 +32,8 @@ from . import common
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 ESTIMATE = 0.6
+#: Shingles from which on a set's estimate decides.
+SMALL = 128
 #: Members and pivots that meet in one block.
 SALTED, PIVOTS = 256, 32
 #: Pivots of a bucket in its second round, as expected; twice as many in each round after.
@@ -102,8 +105,8 @@ def sketches(docs: DataFrame, k: int, text: str, key: str) -> DataFrame:
     return part.mapInArrow(sketch, f"key {docs.schema[key].dataType.simpleString()}, n long, hash binary, regs binary")
 
 
-def estimated(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Adds the collision-corrected Jaccard estimate to (a, b)."""
+def estimated(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """Adds the collision-corrected Jaccard estimate to (a, b), and whether the pair is to be verified."""
     side = lambda c: sketched.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -116,10 +119,13 @@ def estimated(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
                 known[s] = chance_collision(2 ** s[0], 2 ** s[1])
             chance = np.array([known[s] for s in sizes])
             share = (x == y).mean(1) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.maximum(0, (share - chance) / (1 - chance)))], names=["a", "b", "estimate"])
+            got = np.maximum(0, (share - chance) / (1 - chance))
+            n, m = batch.column("n_a").to_numpy().astype(np.int64), batch.column("n_b").to_numpy().astype(np.int64)
+            few, many = np.minimum(n, m), np.maximum(n, m)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got), pa.array((got >= ESTIMATE) | (few < SMALL) & (100 * few >= percent * many))], names=["a", "b", "estimate", "likely"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(estimate, f"a {kind}, b {kind}, estimate double")
+    return both.mapInArrow(estimate, f"a {kind}, b {kind}, estimate double, likely boolean")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str, key: str) -> DataFrame:
@@ -243,9 +249,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
         met = common.written(placed.join(split, "bucket").select("bucket", "key", "comp", ((F.col("key") == F.col("centre")) | drawn).alias("pivot")), "met")
         pivots = met.where("pivot").select("bucket", F.col("key").alias("b"), F.col("comp").alias("comp_b"))
         apart = met.join(pivots, "bucket").where("comp <> comp_b").select(F.col("key").alias("a"), "b").distinct()
-        edges = common.written(estimated(apart, own), "estimates")
+        edges = common.written(estimated(apart, own, percent), "estimates")
         members = met.where("not pivot").select("bucket", "key")
-        todo = common.written(edges.where(F.col("estimate") >= ESTIMATE).select("a", "b"), "todo")
+        todo = common.written(edges.where("likely").select("a", "b"), "todo")
         if not todo.isEmpty():
             comp = comps.select("key", "comp")
             found = verified(todo, docs, k, percent, text, key).join(comp.toDF("a", "x"), "a").join(comp.toDF("b", "y"), "b")

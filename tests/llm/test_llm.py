@@ -233,6 +233,19 @@ def test_near_duplicates_chain_and_star(spark):
     assert near_dups.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_small_sets_go_without_the_estimate(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "ESTIMATE", 2.0)  # which no pair reaches
+    rng = random.Random(14)
+    texts = {}
+    for i in range(40):
+        base = [f"w{rng.random():.9f}" for _ in range(7 + i)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join([*base, "more"])
+    sets, comp = plain_components(texts, 4, 80)
+    assert len(set(comp.values())) < len(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in rows(near_dups.near_duplicates(df, 4, 80))} == comp
+
+
 def test_registers_estimate_jaccard():
     rng = np.random.default_rng(1)
     for n, share in ((2000, 0.5), (500, 0.8), (40, 0.9)):
