@@ -1,7 +1,8 @@
 """WARC archives as a chunked record table.
 
-Records are never held whole between reading and digest: a payload travels as rows (record, chunk number, bytes), and
-each chunk row carries the SHA-1 of the payload up to its end, so a record's last chunk has the full digest.
+Reading never holds a record whole: a payload travels as rows (record, chunk number, bytes), and each chunk row carries the
+SHA-1 of the payload up to its end, so a record's last chunk has the full digest. Writing does hold each payload whole, as
+the table gives it: one cell, digested before it is cut into records.
 
 Writing: a payload beyond ``chunk_bytes`` becomes a segmented record (WARC-Segment-Number, then ``continuation``
 records), so no record of an archive is longer than a chunk. Of equal payloads the one with the largest key is a
