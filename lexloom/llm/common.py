@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +93,24 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tup
 
 
 def word_parts(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``word_hashes``, and the words' first bytes and ends."""
+    """As ``word_hashes``, and the words' first bytes and ends. A giant text goes in pieces that end between words."""
+    if len(bounds) != 2 or len(data) <= 4 * _CHUNK:
+        return _word_parts(data, bounds, lower)
+    found, start = [], 0
+    while start < len(data):
+        end = start + _CHUNK
+        while end < len(data) and _SOLID[data[end]]:  # the word at the border belongs to this piece
+            step = np.flatnonzero(~_SOLID[data[end : end + 4096]])
+            end = end + int(step[0]) if len(step) else end + 4096
+        end = min(end, len(data))
+        hashes, _, starts, ends = _word_parts(data[start:end], np.array([0, end - start]), lower)
+        found.append((hashes, starts + start, ends + start))
+        start = end
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    return hashes, np.array([0, len(hashes)]), starts, ends
+
+
+def _word_parts(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -151,3 +169,27 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
         out *= np.uint64(0x9FB21C651E98DF25)
         out += hashes[i : i + n]
     return mix(out)
+
+
+def group_starts(table: pa.Table, keys: int) -> np.ndarray:
+    """Where the groups of a sorted table start, by its first columns, and its end."""
+    change = np.zeros(max(0, table.num_rows - 1), bool)
+    for c in range(keys):
+        column = table.column(c).combine_chunks()
+        change |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]]) if table.num_rows else np.zeros(1, np.int64)
+
+
+def whole_groups(batches, keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches that are sorted by their first columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        last = int(group_starts(table, keys)[-2])
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)

@@ -233,6 +233,73 @@ def test_near_duplicates_chain_and_star(spark):
     assert near_dups.near_duplicates(df.limit(0)).count() == 0
 
 
+def grey_copies(seed, count):
+    """Copies of one text with 0 to 40 of 120 words changed: some are linked, many are just not."""
+    rng = random.Random(seed)
+    base = [f"w{rng.random():.9f}" for _ in range(120)]
+    out = []
+    for i in range(count):
+        copy, at = list(base), rng.randrange(120)
+        for p in range(at, at + rng.randrange(40)):
+            copy[p % 120] = f"c{i}x{p}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("block, rows_broadcast", [(1 << 20, 200_000), (16, 0)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, block, rows_broadcast):
+    """Equal to brute force in one block, and in parts with a second round; no node is a row more often than blocks need."""
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(near_dups, "BROADCAST_ROWS", rows_broadcast)
+    monkeypatch.setattr(near_dups, "UNITED", rows_broadcast)
+    texts = dict(enumerate([*grey_copies(3, 300), *grey_copies(4, 100), *(f"clean text number {i} " * 3 + f"{i * i}" for i in range(50))]))
+    sets, comp = plain_components(texts, 4, 80)
+    assert 30 < len(set(comp.values())) < 400
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(near_dups.near_duplicates(df, 4, 80))}
+    assert out == {i: (len(sets[i]), c) for i, c in comp.items()}
+
+
+def test_second_round_meets_all_pairs(spark, monkeypatch):
+    """Every member outside of the largest component meets every member of another component; members inside don't meet."""
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
+    cells = spark.createDataFrame([(b"h", bytes([i]), 10) for i in range(30)], "hub binary, node binary, n long")
+    comps = spark.createDataFrame([(bytes([i]), b"A") for i in range(18)] + [(bytes([i]), b"B") for i in range(18, 22)], "node binary, comp binary")
+    got = rows(near_dups.second_round(cells, spark.createDataFrame([(b"h", 8)], "hub binary, parts long"), comps))
+    where = collections.defaultdict(set)
+    for r in got:
+        where[bytes(r["node"])].add((r["x"], r["y"]))
+    for i in range(30):
+        for j in range(i):
+            met = bool(where[bytes([i])] & where[bytes([j])])
+            assert met or i < 18, (i, j)
+    sizes = collections.Counter((r["x"], r["y"]) for r in got)
+    assert len(got) < 30 * 12 and max(sizes.values()) < 30
+
+
+def test_linked_sets_of_all_shapes(monkeypatch):
+    rng = np.random.default_rng(5)
+    for codes, strip in ((1 << 22, 4096), (7, 3)):
+        monkeypatch.setattr(near_dups, "CODES", codes)
+        monkeypatch.setattr(near_dups, "STRIP", strip)
+        owns = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(70)] + [np.unique(rng.integers(1000, 9000, 900).astype(np.uint64)) for _ in range(8)]
+        owns += [owns[0], owns[-1][:-5]]
+        both = near_dups.intersections(owns)
+        assert all(both[i, j] == len(np.intersect1d(owns[i], owns[j])) for j in range(len(owns)) for i in range(j))
+    path = [np.arange(i, i + 40).astype(np.uint64) for i in np.random.default_rng(1).permutation(60) * 2]
+    assert set(near_dups.linked(path, 80).tolist()) == {0}
+
+
+def test_rows_that_share_a_key_and_a_giant_text(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.random():.7f}" for _ in range(4000)]
+    giant = " ".join(rng.choice(words) for _ in range(600_000)) + " " + "x" * 5_000_000
+    a, b, c = (" ".join(f"{p}{i}" for i in range(50)) for p in "abc")
+    some = [(5, a), (5, b), (3, a + " more"), (9, b + " more"), (5, a), (1, c), (None, c), (20, giant), (21, giant + " end"), (22, None), (23, "")]
+    out = [(r["doc_id"], r["component_id"], r["kept"]) for r in rows(near_dups.near_duplicates(spark.createDataFrame(some, "doc_id long, text string"), 4, 80))]
+    assert sorted(out, key=str) == sorted([(5, 3, False), (5, 3, False), (5, 5, True), (3, 3, True), (9, 5, False), (1, 1, True), (None, None, True), (20, 20, True), (21, 20, False), (22, 22, True), (23, 23, True)], key=str)
+
+
 def test_small_sets_go_without_the_estimate(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "ESTIMATE", 2.0)  # which no pair reaches
     rng = random.Random(14)
