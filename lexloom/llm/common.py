@@ -193,3 +193,27 @@ def whole_groups(batches, keys: int) -> Iterator[pa.Table]:
         held = table.slice(last).combine_chunks().to_batches()
     if held:
         yield pa.Table.from_batches(held)
+
+
+def streams(batches, rows: int) -> Iterator[tuple[object, Iterator[pa.Array]]]:
+    """(name, columns) of each stream in batches of (stream, value) that are sorted by stream; all columns but a stream's
+    last hold exactly so many rows, however the batches are cut. A stream is to be read to its end before the next."""
+    left = iter(batch.slice(a, b - a) for batch in batches for start in [group_starts(pa.Table.from_batches([batch]), 1)] for a, b in zip(start[:-1], start[1:], strict=True))
+    ahead = next(left, None)
+
+    def columns(name):
+        nonlocal ahead
+        held: list[pa.Array] = []
+        while ahead is not None and ahead.column(0)[0].as_py() == name:
+            held.append(ahead.column(1).cast(pa.large_string()))
+            ahead = next(left, None)
+            while sum(map(len, held)) >= rows:
+                whole = pa.concat_arrays(held)
+                yield whole.slice(0, rows)
+                held = [whole.slice(rows)]
+        if sum(map(len, held)):
+            yield pa.concat_arrays(held)
+
+    while ahead is not None:
+        name = ahead.column(0)[0].as_py()
+        yield name, columns(name)

@@ -6,16 +6,17 @@ bytes name. The network reads the previous token (a frequent word, or a class),
 in the frequent classes, the word within it, both by softmax from its state; within the other classes a word has its
 smoothed share of the class, with room for words never seen, so the probabilities of all tokens sum to one.
 
-Training: every training document is read once, in rounds that hash of the key deals out; in a round each task starts from
-the same weights, runs truncated backpropagation over windows of 16 tokens in up to 128 lanes (the state goes on from window to
-window), and the tasks' weights are averaged by their tokens. The output layer starts at the logarithms of the counted shares, so an
+Training: every training document is read once, in rounds and streams that a hash of its key and text deals out and orders,
+so the weights do not depend on how the table is partitioned; in a round each stream starts from the same weights, runs
+truncated backpropagation over windows of 16 tokens in up to 128 lanes (the state goes on from window to window), and the
+streams' weights are averaged by their tokens. The output layer starts at the logarithms of the counted shares, so an
 untrained network equals the class-wise unigram.
 
 Scoring: documents lie in lanes; the state is carried over the windows of a document to its end. The counts of the most
 frequent words (a bounded table) are broadcast; the rarer tokens of all documents join the vocabulary by shuffle.
 
 Defined cases: a null or empty text is the end token alone; a null key counts as empty text for the split; repeated rows
-are scored each; an empty table gives no rows; with no training tokens the base is uniform over the one unknown word.
+are scored each, and learned from in one stream; an empty table gives no rows; a very long text is one lane; with no training tokens the base is uniform over the one unknown word.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ STEPS, LANES, SCORE_LANES = 16, 128, 1024
 #: Output weights stay within this, so that no logit overflows.
 BOUND = 4.0
 ROUNDS, RATE = 3, 0.08
+#: Tokens of a stream in a round, about; rows that a stream trains on at once.
+STREAM, SLICE = 1 << 20, 2000
 #: Words whose counts are broadcast at most (16 bytes each).
 HEAD = 400_000
 END = np.uint64(0xE7D1E7D1E7D1E7D1)
@@ -291,23 +294,32 @@ def train_task(start: Network, lex: Lexicon, columns):
     return net, seen
 
 
+def streams_of(lex: Lexicon, rounds: int) -> int:
+    """How many streams share a round: of about ``STREAM`` tokens each."""
+    return max(1, round(lex.total / (rounds * STREAM)))
+
+
 def train(docs: DataFrame, lex: Lexicon, text: str, key: str, rounds: int = ROUNDS) -> Network:
-    """Every training document once; weights are averaged over tasks after each round (their number is fixed and small)."""
+    """Every training document once; weights are averaged over streams after each round. Rows are dealt to rounds and
+    streams, and ordered in them, by hash: the weights are a function of the rows, however the table is partitioned."""
     sc = docs.sparkSession.sparkContext
-    net = Network.fresh(lex)
-    part = docs.where(in_training(key))
+    net, streams = Network.fresh(lex), streams_of(lex, rounds)
+    lot = F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string"))
+    part = docs.where(in_training(key)).select(F.col(text).cast("string").alias("text"), lot.alias("lot"))
     for turn in range(rounds):
         shared = sc.broadcast((net, lex))
 
         def learn(batches, shared=shared):
             start, lex = shared.value
-            net, seen = train_task(start, lex, (b.column(0).slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)))
-            if seen:
-                flat = net.flat()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "v", "n"])
-
-        own = part.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == turn).select(F.col(text).cast("string").alias("text"))
-        rows = own.mapInArrow(learn, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas().sort_values("i")
+            for _, columns in common.streams(batches, SLICE):
+                net, seen = train_task(start, lex, columns)
+                if seen:
+                    flat = net.flat()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "v", "n"])
+
+        own = part.where(F.pmod("lot", F.lit(rounds)) == turn).select(F.pmod(F.floor(F.col("lot") / rounds), F.lit(streams)).alias("stream"), "lot", "text")
+        dealt = own.repartition(streams, "stream").sortWithinPartitions("stream", "lot").select("stream", "text")
+        rows = dealt.mapInArrow(learn, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas().sort_values("i")
         if len(rows):
             net = net.like(rows["v"].to_numpy())
         shared.unpersist()
