@@ -15,7 +15,12 @@ exactly the leftmost non-overlapping matches of
 come; at least 6 characters). A value without quotes that stands apart from its ``=`` or behind a colon may be prose, so it
 needs a digit, or a capital behind a small letter. Positions are code points, the end exclusive.
 
-Rows are judged one by one, by a plain map: null texts are empty, repeated rows repeat, other columns pass untouched.
+Every anchor's work is bounded by what it finds: parsers that start within one run of characters share its end and what it
+holds, so a text that is full of cues takes time in proportion to its length.
+
+Defined cases: rows are judged one by one, by a plain map: null and empty texts have no spans, very long texts are scanned
+whole, repeated rows repeat, an empty table gives no rows, other columns pass untouched, whatever their names (``redact``
+changes the text, and the column that holds its length, if it is named and there).
 """
 
 from __future__ import annotations
@@ -52,9 +57,41 @@ IBANS = dict(
 )
 SPACES = frozenset(" \t\n\r\x0b\x0c")
 QUOTES = frozenset("\"'`")
+ALNUM = LETTERS | DIGITS
+_URL_STOP, _HOST = re.compile("[ \t\n\r\x0b\x0c\"'<>)]"), re.compile(r"[^/?#]*")
+_VALUE_STOP, _LOWER = re.compile("[ \t\n\r\x0b\x0c\"'<>,;]"), re.compile("[a-z]")
 _automaton = None
 
 
+class Runs:
+    """Runs of a text up to a stop, each found once. Positions that are asked for only grow."""
+
+    def __init__(self, text: str):
+        self.text, self.ends = text, {}
+        self.digit = self.upper = self.lower = -1  # of the run of a value: its last digit, last capital, next small letter
+
+    def end(self, at: int, stop: re.Pattern) -> int:
+        first, end = self.ends.get(stop, (0, -1))
+        if not first <= at <= end:
+            found = stop.search(self.text, at)
+            end = found.start() if found else len(self.text)
+            self.ends[stop] = at, end
+            if stop is _VALUE_STOP:
+                self.digit, self.upper = (max(self.text.rfind(c, at, end) for c in kind) for kind in (DIGITS, UPPER))
+        return end
+
+    def looks_made(self, at: int, end: int) -> bool:
+        """Whether the value from here to its run's end has a digit, or a capital behind a small letter."""
+        if self.digit >= at:
+            return True
+        if self.upper < at:
+            return False
+        if not at <= self.lower:
+            found = _LOWER.search(self.text, at)
+            self.lower = found.start() if found else len(self.text)
+        return self.lower < self.upper
+
+
 def automaton():
     """Anchors: cue -> kind. Built once in each worker."""
     global _automaton
@@ -141,41 +178,39 @@ def valid_ip(match: str) -> bool:
     return all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in match.split("."))
 
 
-def expand_url(text: str, start: int, after: int) -> tuple[int, int] | None:
+def expand_url(text: str, start: int, after: int, runs: Runs) -> tuple[int, int] | None:
     """An address with a user part before its host."""
-    end = after
-    while end < len(text) and text[end] not in SPACES and text[end] not in "\"'<>)":
-        end += 1
-    host = re.match(r"[^/?#]*", text[after:end])[0]
-    return (start, end) if "@" in host[1:] else None
+    end = runs.end(after, _URL_STOP)
+    return (start, end) if text.find("@", after + 1, _HOST.match(text, after, end).end()) >= 0 else None
 
 
 def expand_iban(text: str, start: int) -> tuple[int, int] | None:
     """From a country code on, the characters in groups that single spaces or hyphens join, as many as the country has."""
-    if start and text[start - 1] in LETTERS | DIGITS or start + 2 >= len(text) or text[start + 2] not in DIGITS:
+    if start and text[start - 1] in ALNUM or start + 2 >= len(text) or text[start + 2] not in DIGITS:
         return None
     end, chars, size = start, [], IBANS[text[start : start + 2]]
     while len(chars) < size:
         if end < len(text) and chars and text[end] in " -":
             end += 1
-        if end >= len(text) or text[end] not in LETTERS | DIGITS:
+        if end >= len(text) or text[end] not in ALNUM:
             return None
         chars.append(text[end].upper())
         end += 1
     whole = "".join(chars)
-    alone = end == len(text) or text[end] not in LETTERS | DIGITS
+    alone = end == len(text) or text[end] not in ALNUM
     return (start, end) if alone and whole[3] in DIGITS and int("".join(str(int(c, 36)) for c in whole[4:] + whole[:4])) % 97 == 1 else None
 
 
 def expand_key(text: str, start: int, after: int) -> tuple[int, int] | None:
+    if start and text[start - 1] in ALNUM:
+        return None
     end = after
     while end < len(text) and (text[end] in UPPER or text[end] in DIGITS):
         end += 1
-    alone = start == 0 or text[start - 1] not in LETTERS | DIGITS
-    return (start, end) if alone and end - start == 20 else None
+    return (start, end) if end - start == 20 else None
 
 
-def expand_secret(text: str, after: int) -> tuple[int, int] | None:
+def expand_secret(text: str, after: int, runs: Runs) -> tuple[int, int] | None:
     """The value behind an identifier: past its closing quote, spaces, ``=``, ``:``, ``:=`` or ``=>``, and an opening quote."""
     n, at = len(text), after
     if at < n and text[at] == "\\":  # quotes within a quoted text
@@ -201,18 +236,15 @@ def expand_secret(text: str, after: int) -> tuple[int, int] | None:
             end -= text[end - 1] == "\\"
             return (start, end) if end - start >= 6 else None
         at = start  # no closing quote on the line
-    end = at
-    while end < n and text[end] not in SPACES and text[end] not in "\"'<>,;":
-        end += 1
-    value = text[at:end]
-    likely = close or any(c in DIGITS for c in value) or re.search("[a-z].*[A-Z]", value)
-    return (at, end) if end - at >= 6 and likely else None
+    end = runs.end(at, _VALUE_STOP)
+    return (at, end) if end - at >= 6 and (close or runs.looks_made(at, end)) else None
 
 
 def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, in order, none overlapping another of its kind."""
     spans: dict[str, list[tuple[int, int]]] = defaultdict(list)
     floor: dict[str, int] = defaultdict(int)  # where the last match of a kind ended
+    runs = Runs(text)
 
     def took(kind: str, span: tuple[int, int] | None, valid=None) -> None:
         if span and span[0] >= floor[kind]:
@@ -239,13 +271,14 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
             if start >= floor["phone"]:
                 took("phone", expand_phone(text, start), valid_phone)
         elif anchor == "url":
-            took("url", expand_url(text, start, last + 1))
+            if start >= floor["url"]:
+                took("url", expand_url(text, start, last + 1, runs))
         elif anchor == "iban":
             took("iban", expand_iban(text, start))
         elif anchor == "key":
             took("key", expand_key(text, start, last + 1))
-        else:
-            took("secret", expand_secret(text, last + 1))
+        elif last + 1 >= floor["secret"]:
+            took("secret", expand_secret(text, last + 1, runs))
     return spans
 
 
