@@ -11,7 +11,8 @@ and looked up in a bounded cache of chunks; unknown chunks go through an engine
 tokenizer's own file (the ids are the same); texts with other spacing or a special token are tokenized whole.
 
 Defined cases: a null text is empty (its one id is the end id); repeated rows are packed as often as they occur; null
-keys stay null; an empty table gives no rows.
+keys stay null; a very long text is tokenized by one task and cut into pieces; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from . import common
 
 CAPACITY = 2048
 END_ID = 0
-#: Rows that one task ranks at most, as expected.
-RANKED = 500
+#: Rows that one bucket ranks, as expected, and buckets of a length at most (their offsets are summed by one task).
+RANKED, BUCKETS = 500, 4096
 _CACHE_ENTRIES = 800_000
 _tokenizers: dict[str, tuple] = {}
 
@@ -181,11 +182,11 @@ def plan(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int
 
 def ranked(df: DataFrame, counts: dict[int, int]) -> DataFrame:
     """Adds ``rank`` from 0 within each length. A length with many rows is ranked in buckets of about RANKED rows."""
-    many = {k: -(-n // RANKED) for k, n in counts.items() if n > RANKED}
-    spread = F.xxhash64("key", "piece")
+    many = {k: min(BUCKETS, -(-n // RANKED)) for k, n in counts.items() if n > RANKED}
+    spread = F.xxhash64("key", "piece", "serial")
     buckets = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in many.items() for x in kv)), F.col("length").cast("int")), F.lit(1)) if many else F.lit(1)
     df = df.withColumn("bucket", F.pmod(spread, buckets.cast("long")))
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("key", "piece", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("key", "piece", "serial")) - 1
     if not many:
         return df.withColumn("rank", rank.cast("long"))
     sizes = df.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -197,7 +198,7 @@ def ranked(df: DataFrame, counts: dict[int, int]) -> DataFrame:
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each piece: key, piece, start, length, ids_crc32, sequence_id, offset."""
     spark: SparkSession = docs.sparkSession
-    cutted = common.written(pieces(docs, path or vocabulary_path(), capacity, text, key), "pieces")
+    cutted = common.written(pieces(docs, path or vocabulary_path(), capacity, text, key).withColumn("serial", F.monotonically_increasing_id()), "pieces")
     counts = {int(r[0]): r[1] for r in cutted.groupBy("length").count().collect()}  # at most ``capacity`` rows
     runs = {k: tuple(np.array(x, np.int64) for x in zip(*v, strict=True)) for k, v in plan(counts, capacity).items()}
     shared = spark.sparkContext.broadcast(runs)  # bounded by the number of lengths and their splits, not by the documents
