@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import jsonx
+from .spaces import blank, stripped
 
 # Extensions, code patterns, sensitive names.
 PROSE = (".md", ".txt", ".markdown", ".rst", ".typ", ".typst", ".tex")
@@ -43,12 +44,12 @@ def is_json(text: Column) -> Column:
 
 def share(lines: Column, hit) -> Column:
     """The share of lines with a solid character that are hits; 0 without any."""
-    solid = F.size(F.filter(lines, lambda x: F.trim(x) != ""))
+    solid = F.size(F.filter(lines, lambda x: ~blank(x)))
     return F.when(solid > 0, F.size(F.filter(lines, hit)) / solid).otherwise(0.0)
 
 
 def is_yaml(text: Column) -> Column:
-    return share(head(text, 30), lambda x: F.trim(x).rlike(YAML_LINE)) > 0.6
+    return share(head(text, 30), lambda x: stripped(x).rlike(YAML_LINE)) > 0.6
 
 
 def is_code(text: Column) -> Column:
@@ -78,7 +79,7 @@ def refusal(path: Column, text: Column, candidate: Column) -> Column:
         F.when(F.octet_length(text) > LIMIT_BYTES, "too large")
         .when(is_sensitive(path), "sensitive path")
         .when(~wants_compression(path, text), "not natural language")
-        .when(F.trim(text) == "", "empty input")
-        .when(F.trim(F.coalesce(candidate, F.lit(""))) == "", "empty output")
-        .when(F.trim(candidate) == F.trim(text), "identical output")
+        .when(blank(text), "empty input")
+        .when(blank(F.coalesce(candidate, F.lit(""))), "empty output")
+        .when(stripped(candidate) == stripped(text), "identical output")
     )

@@ -8,16 +8,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spaces import stripped
+
 # The modes, and those with a behaviour of their own.
 MODES = ("off", "lite", "full", "ultra", "wenyan-lite", "wenyan", "wenyan-full", "wenyan-ultra", "commit", "review", "compress")
 INDEPENDENT = ("commit", "review", "compress")
 OFF_WORDS = ("off", "stop", "disable")
 WORD = "terse"
+STARTS, STARTED = "activate|enable|turn on|start|talk like", "mode|activate|enable|turn on|start"
+STOPS, BACK = "stop|disable|deactivate|turn off", "normal mode"
+BRIEF = "less tokens|fewer tokens|be brief|be terse|shorter answers"
 
 
 def valid(mode: Column) -> Column:
     """A stored mode: trimmed, lower case, at most 64 bytes, one of the known; else null."""
-    clean = F.lower(F.trim(mode))
+    clean = F.lower(stripped(mode))
     return F.when((F.octet_length(mode) <= 64) & clean.isin(*MODES), clean)
 
 
@@ -30,13 +35,17 @@ def _bounded(pattern: str) -> str:
     return f"(?<!\\w)(?:{pattern})(?!\\w)"
 
 
+def _then(prompt: Column, first: str, then: str) -> Column:
+    """Whether a line has one and, behind it, the other. Only the first of a line is tried: another would see less."""
+    return prompt.rlike(f"(?m)^(?>.*?{_bounded(first)}).*{_bounded(then)}")
+
+
 def _activates(prompt: Column, word: str) -> Column:
-    return prompt.rlike(f"{_bounded('activate|enable|turn on|start|talk like')}.*{_bounded(word)}") | prompt.rlike(f"{_bounded(word)}.*{_bounded('mode|activate|enable|turn on|start')}")
+    return _then(prompt, STARTS, word) | _then(prompt, word, STARTED)
 
 
 def _deactivates(prompt: Column, word: str) -> Column:
-    off = "stop|disable|deactivate|turn off"
-    return prompt.rlike(f"{_bounded(off)}.*{_bounded(word)}") | prompt.rlike(f"{_bounded(word)}.*{_bounded(off)}") | prompt.rlike(_bounded("normal mode"))
+    return _then(prompt, STOPS, word) | _then(prompt, word, STOPS) | prompt.rlike(_bounded(BACK))
 
 
 def _level(arg: Column, default: str, unknown: Column) -> Column:
@@ -60,9 +69,9 @@ def _slash(prompt: Column, word: str, default: str, namespaced: bool) -> Column:
 def hook_command(prompt: Column, default: str = "full", word: str = WORD) -> Column:
     """Activation by phrases (also requests to be brief), then slash commands, then deactivation, the last that matches
     winning. Null leaves the mode alone. A default of off never activates."""
-    p = F.lower(F.trim(F.coalesce(prompt, F.lit(""))))
-    brief = p.rlike(_bounded("less tokens|fewer tokens|be brief|be terse|shorter answers"))
-    stops = p.rlike(_bounded("stop|disable|turn off|deactivate"))
+    p = F.lower(stripped(F.coalesce(prompt, F.lit(""))))
+    brief = p.rlike(_bounded(BRIEF))
+    stops = p.rlike(_bounded(STOPS))
     phrase = F.when((_activates(p, word) | brief) & ~stops & F.lit(default != "off"), F.lit(default))
     stats = p.rlike(f"^/{word}(?::{word})?-stats(?:\\s+.*)?$")
     slash = F.when(p.startswith(f"/{word}") & ~stats, _slash(p, word, default, True))
@@ -71,8 +80,8 @@ def hook_command(prompt: Column, default: str = "full", word: str = WORD) -> Col
 
 def plugin_command(prompt: Column, default: str = "full", word: str = WORD) -> Column:
     """Outer quotes off; deactivation first; then the template "activate word mode: X", phrases, slash commands."""
-    p = F.trim(F.coalesce(prompt, F.lit("")))
-    p = F.lower(F.when(p.rlike("(?s)^([\"'`])(.*)\\1$"), F.trim(F.regexp_extract(p, "(?s)^([\"'`])(.*)\\1$", 2))).otherwise(p))
+    p = stripped(F.coalesce(prompt, F.lit("")))
+    p = F.lower(F.when(p.rlike("(?s)^([\"'`])(.*)\\1$"), stripped(F.regexp_extract(p, "(?s)^([\"'`])(.*)\\1$", 2))).otherwise(p))
     template = f"^activate {word} mode:[ \\t]*(\\S*)"
     return (
         F.when(p == "", F.lit(None).cast("string"))
@@ -85,7 +94,7 @@ def plugin_command(prompt: Column, default: str = "full", word: str = WORD) -> C
 
 def stats_command(prompt: Column, word: str = WORD) -> Column:
     """(is_stats, share, all, since) of the statistics command; since is the argument that follows the flag."""
-    p = F.lower(F.trim(F.coalesce(prompt, F.lit(""))))
+    p = F.lower(stripped(F.coalesce(prompt, F.lit(""))))
     found = f"^/{word}(?::{word})?-stats(?:\\s+(.*))?$"
     is_stats = p.rlike(found)
     args = F.filter(F.split(F.coalesce(F.regexp_extract(p, found, 1), F.lit("")), "\\s+"), lambda x: x != "")

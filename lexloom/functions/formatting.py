@@ -122,6 +122,13 @@ def utc_stamp(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyyMMdd_HHmmss")
 
 
+def windows_quoted(text: Column) -> Column:
+    """An argument for a Windows command line: quoted if it is empty or has spaces or quotes, with backslashes before a
+    quote doubled."""
+    doubled = F.regexp_replace(text, "\\\\(?=\\\\*+\"|\\z)", "\\\\\\\\")
+    return F.when((text == "") | text.rlike("[\\s\"]"), F.concat(F.lit('"'), F.replace(doubled, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(text)
+
+
 def shell_quoted(text: Column) -> Column:
     """In single quotes for a POSIX shell."""
     return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'"))

@@ -13,7 +13,18 @@ HEDGES = ("it might be worth", "you could consider", "it would be good to", "per
 LEADERS = ("i will", "i'll")
 CONNECTIVES = ("in addition", "however", "furthermore", "additionally")
 PHRASES = (("in order to", "to"), ("make sure to", "ensure"), ("the reason is because", "because"))
-PROTECTED = "```[\\s\\S]*?```|~~~[\\s\\S]*?~~~|`[^`]+`|https?://[^\\s)]+|[A-Za-z]:\\\\[\\w\\-/\\\\.]+|[\\w\\-.~]*/[\\w\\-/.]+|\\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\\b|\\b\\w+(?:\\.\\w+)+\\(?\\)?"
+#: What stays as it is. ``{p}`` makes a quantifier possessive, ``{b}`` and ``{a}`` are bounds of words, ``{l}`` is the left
+#: bound of a path: with them a match takes time in proportion to the text, whatever it holds.
+PROTECTED = (
+    "```[\\s\\S]*?```",
+    "~~~[\\s\\S]*?~~~",
+    "`[^`]+{p}`",
+    "https?://[^\\s)]+{p}",
+    "[A-Za-z]:\\\\[\\w\\-/\\\\.]+{p}",
+    "{l}[\\w\\-.~]*{p}/[\\w\\-/.]+{p}",
+    "{b}[A-Z][A-Z0-9]*{p}(?:_[A-Z0-9]+{p})+{p}{a}",
+    "{b}\\w+{p}(?:\\.\\w+{p})+{p}\\(?\\)?",
+)
 
 
 def droppable() -> str:
@@ -21,14 +32,17 @@ def droppable() -> str:
     return "|".join(phrases)
 
 
-def pattern(java: bool) -> str:
+def pattern(backtracks: bool) -> str:
     """Protected spans as group 1, or a droppable phrase with a comma and the blanks behind it.
 
-    Word bounds are ASCII in both dialects: look-arounds where the engine has them, plain bounds where those are ASCII.
+    Two dialects of one expression: for engines that backtrack, with possessive quantifiers and look-arounds (word bounds
+    are ASCII); for automata, which need neither, with plain bounds.
     """
-    before, after = ("(?<!\\w)", "(?!\\w)") if java else ("\\b", "\\b")
-    protected = PROTECTED.replace("\\b[A-Z]", f"{before}[A-Z]").replace("_[A-Z0-9]+)+\\b", f"_[A-Z0-9]+)+{after}").replace("\\b\\w+(", f"{before}\\w+(")
-    return f"({protected})|(?i:{before}(?:{droppable()}){after},?[ \\t]*)"
+    marks = {"p": "+", "b": "(?<!\\w)", "a": "(?!\\w)", "l": "(?<![\\w\\-.~])"} if backtracks else {"p": "", "b": "\\b", "a": "\\b", "l": ""}
+    protected = "|".join(PROTECTED)
+    for name, mark in marks.items():
+        protected = protected.replace("{" + name + "}", mark)
+    return f"({protected})|(?i:{marks['b']}(?:{droppable()}){marks['a']},?[ \\t]*)"
 
 
 def compressed(text: Column) -> Column:

@@ -9,15 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-# The grammars of the extracted things.
+from .spaces import blank, stripped
+
+# The grammars of the extracted things. Possessive quantifiers and left bounds keep them linear in long texts.
 HEADING = "(?md)^(#{1,6})\\s+(.*)"
 URL = "https?://[^\\s)]+"
-PATH = "(?:\\./|\\.\\./|/|[A-Za-z]:\\\\)[\\w\\-/\\\\\\.]+|[\\w\\-\\.]+[/\\\\][\\w\\-/\\\\\\.]+"
-BULLET = "(?md)^\\s*[-*+]\\s+"
-INLINE = "`([^`]+)`"
+PATH = "(?:\\./|\\.\\./|/|[A-Za-z]:\\\\)[\\w\\-/\\\\\\.]++|(?<![\\w\\-\\.])[\\w\\-\\.]++[/\\\\][\\w\\-/\\\\\\.]++"
+BULLET = "(?md)^[^\\S\\n]*+[-*+]\\s++"
+INLINE = "`([^`]++)`"
 FENCED = ("(?md)^```[\\s\\S]*?^```", "(?md)^~~~[\\s\\S]*?^~~~")
 FRONT = "(?s)\\A(---\\r?\\n.*?\\r?\\n---\\r?\\n)(.*)"
-WRAPPED = "(?s)\\A\\s*(`{3,}|~{3,})[^\\n]*\\n(.*)\\n\\1\\s*\\z"
+WRAPPED = "(?s)\\A\\s*+(`{3,}+|~{3,}+)[^\\n]*+\\n(.*)\\n(`{3,}+|~{3,}+)\\s*+\\z"
 _FENCE = re.compile(r"[ \t\r\f\v]{0,3}(`{3,}|~{3,})(.*)")
 
 
@@ -34,7 +36,7 @@ def words(text: Column) -> Column:
 def headings(text: Column) -> Column:
     """(level, title) in order; also lines that look like headings inside fences."""
     levels, titles = F.regexp_extract_all(text, F.lit(HEADING), 1), F.regexp_extract_all(text, F.lit(HEADING), 2)
-    return F.zip_with(levels, titles, lambda a, b: F.struct(a.alias("level"), F.trim(b).alias("title")))
+    return F.zip_with(levels, titles, lambda a, b: F.struct(a.alias("level"), stripped(b).alias("title")))
 
 
 def urls(text: Column) -> Column:
@@ -90,14 +92,39 @@ def front_matter(text: Column) -> Column:
     return F.struct(front.alias("front"), F.when(front != "", F.regexp_extract(text, FRONT, 2)).otherwise(text).alias("body"))
 
 
+# How other readers of front matter find its ends.
+LOOSE = "(?s)\\A---\\r?\\n((?:.*?\\n)??)---\\s*(?:\\r?\\n|\\z)(.*)\\z"
+PLAIN = "(?s)\\A---.*?---\\s*"
+INNER = "(?s)\\A---\\n(.*?)(\\n---.*)\\z"
+
+
+def front_matter_loose(text: Column) -> Column:
+    """(front, body): the lines between the fences only; the closing one may have blanks and blank lines behind it."""
+    found = text.rlike(LOOSE)
+    return F.struct(F.when(found, F.regexp_extract(text, LOOSE, 1)).otherwise("").alias("front"), F.when(found, F.regexp_extract(text, LOOSE, 2)).otherwise(text).alias("body"))
+
+
+def body_only(text: Column) -> Column:
+    """Without front matter up to the first three hyphens, wherever these stand, and the white space behind."""
+    return F.regexp_replace(text, PLAIN, "")
+
+
+def without_key_inside(text: Column, key: str) -> Column:
+    """A whole text whose front matter (up to the first line that begins with three hyphens) loses a key and its
+    indented lines; without front matter the text as it is."""
+    lines = F.regexp_replace(F.concat(F.lit("\n"), F.regexp_extract(text, INNER, 1)), f"\\n{key}[ \\t]*+:[^\\n]*+(?:\\n[ \\t][^\\n]*+)*+", "")
+    return F.when(text.rlike(INNER), F.concat(F.lit("---\n"), F.substring(lines, F.lit(2), F.length(lines)), F.regexp_extract(text, INNER, 2))).otherwise(text)
+
+
 def unwrapped(text: Column) -> Column:
-    """Without a fence that wraps the whole text."""
-    return F.when(text.rlike(WRAPPED), F.regexp_extract(text, WRAPPED, 2)).otherwise(text)
+    """Without a fence that wraps the whole text; the closing fence may be shorter than the opening one."""
+    first, last = F.regexp_extract(text, WRAPPED, 1), F.regexp_extract(text, WRAPPED, 3)
+    return F.when(text.rlike(WRAPPED) & first.startswith(last), F.regexp_extract(text, WRAPPED, 2)).otherwise(text)
 
 
 def without_key(front: Column, key: str) -> Column:
     """Front matter without a key and its indented continuation lines."""
-    return F.regexp_replace(front, f"(?m)^{key}[ \\t]*:.*(?:\\n[ \\t].*)*\\n?", "")
+    return F.regexp_replace(front, f"(?m)^{key}[ \\t]*+:.*+(?:\\n[ \\t].*+)*+\\n?", "")
 
 
 def with_keys(front_body: Column, keys: dict[str, str]) -> Column:
@@ -120,7 +147,7 @@ def without_block(text: Column, begin: str, end: str) -> Column:
     after = F.regexp_replace(F.substring(text, b + len(end), F.length(text)), "^\\n+", "")
     joined = F.when(before == "", after).when(after == "", F.concat(before, F.lit("\n"))).otherwise(F.concat(before, F.lit("\n\n"), after))
     cut = F.when((a > 0) & (b > a), joined).otherwise(text)
-    return F.when(F.trim(F.regexp_replace(cut, "\\n", "")) != "", cut)
+    return F.when(~blank(cut), cut)
 
 
 def between(text: Column, begin: str, end: str, middle: Column) -> Column:

@@ -1,14 +1,32 @@
-"""Whether a compressed text kept what it had to keep: errors and warnings of a pair of texts."""
+"""Whether a compressed text kept what it had to keep: errors and warnings of a pair of texts.
+
+The rules work on what ``facts`` extracts, each fact a column of its own, so that no text is searched twice.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import markdown
 from .rounding import relative_change
 
+# The drift that bullets may have, and the messages.
 BULLET_DRIFT = 0.15
+HEADING_COUNT, HEADING_CHANGED = "Heading count mismatch: ", "Heading text/order changed"
+BLOCKS_CHANGED = "Code blocks not preserved exactly"
+MISMATCH = " mismatch: lost="
+BULLETS_CHANGED = "Bullet count changed too much: "
+CODES_LOST, CODES_ADDED = "Inline code lost: ", "Inline code added: "
+
+#: What is compared, and how it is found in a text.
+FACTS = {"headings": markdown.headings, "blocks": markdown.code_blocks, "urls": markdown.urls, "paths": markdown.paths, "bullets": markdown.bullets, "codes": markdown.inline_codes}
+
+
+def facts(pairs: DataFrame, original: str = "original", compressed: str = "compressed", names: tuple[str, ...] = tuple(FACTS)) -> DataFrame:
+    """Adds the facts of both texts (line ends made one) as columns a_<fact> and b_<fact>."""
+    texts = pairs.withColumns({"__a": markdown.unix_lines(F.col(original)), "__b": markdown.unix_lines(F.col(compressed))})
+    return texts.withColumns({f"{side}_{n}": FACTS[n](F.col(f"__{side}")) for n in names for side in "ab"}).drop("__a", "__b")
 
 
 def _listed(items: Column) -> Column:
@@ -21,34 +39,32 @@ def difference(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def heading_error(a: Column, b: Column) -> Column:
-    x, y = F.size(markdown.headings(a)), F.size(markdown.headings(b))
-    return F.when(x != y, F.concat(F.lit("Heading count mismatch: "), x.cast("string"), F.lit(" vs "), y.cast("string")))
+    return F.when(F.size(a) != F.size(b), F.concat(F.lit(HEADING_COUNT), F.size(a).cast("string"), F.lit(" vs "), F.size(b).cast("string")))
 
 
 def heading_warning(a: Column, b: Column) -> Column:
-    return F.when(markdown.headings(a) != markdown.headings(b), "Heading text/order changed")
+    return F.when(a != b, HEADING_CHANGED)
 
 
-def block_error(blocks_a: Column, blocks_b: Column) -> Column:
-    return F.when(blocks_a != blocks_b, "Code blocks not preserved exactly")
+def block_error(a: Column, b: Column) -> Column:
+    return F.when(a != b, BLOCKS_CHANGED)
 
 
 def _set_report(what: str, a: Column, b: Column) -> Column:
     lost, added = difference(a, b)
-    return F.when((F.size(lost) > 0) | (F.size(added) > 0), F.concat(F.lit(f"{what} mismatch: lost="), _listed(lost), F.lit(", added="), _listed(added)))
+    return F.when((F.size(lost) > 0) | (F.size(added) > 0), F.concat(F.lit(what + MISMATCH), _listed(lost), F.lit(", added="), _listed(added)))
 
 
 def url_error(a: Column, b: Column) -> Column:
-    return _set_report("URL", markdown.urls(a), markdown.urls(b))
+    return _set_report("URL", a, b)
 
 
 def path_warning(a: Column, b: Column) -> Column:
-    return _set_report("Path", markdown.paths(a), markdown.paths(b))
+    return _set_report("Path", a, b)
 
 
 def bullet_warning(a: Column, b: Column) -> Column:
-    x, y = markdown.bullets(a), markdown.bullets(b)
-    return F.when(relative_change(x, y) > BULLET_DRIFT, F.concat(F.lit("Bullet count changed too much: "), x.cast("string"), F.lit(" -> "), y.cast("string")))
+    return F.when(relative_change(a, b) > BULLET_DRIFT, F.concat(F.lit(BULLETS_CHANGED), a.cast("string"), F.lit(" -> "), b.cast("string")))
 
 
 def _count(codes: Column, code: Column) -> Column:
@@ -57,28 +73,32 @@ def _count(codes: Column, code: Column) -> Column:
 
 def inline_lost(a: Column, b: Column) -> Column:
     """Codes that are gone, and codes that occur less often, with how many times."""
-    x, y = markdown.inline_codes(a), markdown.inline_codes(b)
+    counts = F.transform(F.array_intersect(a, b), lambda c: F.struct(c.alias("code"), _count(a, c).alias("before"), _count(b, c).alias("after")))
     fewer = F.transform(
-        F.filter(F.array_distinct(x), lambda c: (_count(y, c) > 0) & (_count(y, c) < _count(x, c))),
-        lambda c: F.concat(c, F.lit(" (lost "), (_count(x, c) - _count(y, c)).cast("string"), F.lit(" of "), _count(x, c).cast("string"), F.lit(" occurrences)")),
+        F.filter(counts, lambda x: x["after"] < x["before"]),
+        lambda x: F.concat(x["code"], F.lit(" (lost "), (x["before"] - x["after"]).cast("string"), F.lit(" of "), x["before"].cast("string"), F.lit(" occurrences)")),
     )
-    return F.concat(F.array_except(x, y), fewer)
+    return F.concat(F.array_except(a, b), fewer)
 
 
 def inline_error(a: Column, b: Column) -> Column:
     lost = inline_lost(a, b)
-    return F.when(F.size(lost) > 0, F.concat(F.lit("Inline code lost: "), _listed(lost)))
+    return F.when(F.size(lost) > 0, F.concat(F.lit(CODES_LOST), _listed(lost)))
 
 
 def inline_warning(a: Column, b: Column) -> Column:
-    added = F.array_except(markdown.inline_codes(b), markdown.inline_codes(a))
-    return F.when(F.size(added) > 0, F.concat(F.lit("Inline code added: "), _listed(added)))
+    added = F.array_except(b, a)
+    return F.when(F.size(added) > 0, F.concat(F.lit(CODES_ADDED), _listed(added)))
+
+
+#: The rules in their order: the fact they compare.
+ERRORS = (("headings", heading_error), ("blocks", block_error), ("urls", url_error), ("codes", inline_error))
+WARNINGS = (("headings", heading_warning), ("paths", path_warning), ("bullets", bullet_warning), ("codes", inline_warning))
 
 
-def result(a: Column, b: Column, blocks_a: Column, blocks_b: Column) -> Column:
-    """struct(is_valid, errors, warnings), the checks in their order. The fenced blocks come in as columns, because a
-    Python function is better run once in a projection of its own."""
-    a, b = markdown.unix_lines(a), markdown.unix_lines(b)
-    errors = F.array_compact(F.array(heading_error(a, b), block_error(blocks_a, blocks_b), url_error(a, b), inline_error(a, b)))
-    warnings = F.array_compact(F.array(heading_warning(a, b), path_warning(a, b), bullet_warning(a, b), inline_warning(a, b)))
-    return F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings"))
+def judged(pairs: DataFrame, original: str = "original", compressed: str = "compressed") -> DataFrame:
+    """Adds is_valid, errors and warnings of pairs of texts."""
+    found = facts(pairs, original, compressed)
+    said = lambda rules: F.array_compact(F.array(*(rule(F.col(f"a_{n}"), F.col(f"b_{n}")) for n, rule in rules)))
+    out = found.withColumns({"errors": said(ERRORS), "warnings": said(WARNINGS)})
+    return out.select(*pairs.columns, (F.size("errors") == 0).alias("is_valid"), "errors", "warnings")

@@ -22,10 +22,10 @@ def positional(left: DataFrame, right: DataFrame, keys: list[str], pos: str = "p
 
 
 def from_snapshot(snapshot: DataFrame) -> DataFrame:
-    """(arm, pos, prompt, output) from {prompts, arms: {arm: outputs}}: arrays zipped, not joined."""
-    arms = snapshot.select("prompts", F.explode("arms").alias("arm", "outputs"))
-    zipped = arms.select("arm", F.posexplode(F.slice(F.arrays_zip("prompts", "outputs"), F.lit(1), F.least(F.size("prompts"), F.size("outputs")))).alias("pos", "z"))
-    return zipped.select("arm", "pos", F.col("z.prompts").alias("prompt"), F.col("z.outputs").alias("output"))
+    """(arm, arm_pos, pos, prompt, output) from {prompts, arms: {arm: outputs}}, arms in their order: arrays zipped, not joined."""
+    arms = snapshot.select("prompts", F.posexplode("arms").alias("arm_pos", "arm", "outputs"))
+    zipped = arms.select("arm", "arm_pos", F.posexplode(F.slice(F.arrays_zip("prompts", "outputs"), F.lit(1), F.least(F.size("prompts"), F.size("outputs")))).alias("pos", "z"))
+    return zipped.select("arm", "arm_pos", "pos", F.col("z.prompts").alias("prompt"), F.col("z.outputs").alias("output"))
 
 
 def saving(tokens, control):

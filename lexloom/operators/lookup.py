@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import commands, lint
+from ..functions.spaces import stripped
 
 #: Levels that a search for a configuration walks up at most, and its file names in order.
 DEPTH = 64
@@ -39,7 +40,7 @@ def manifest(lines: DataFrame, column: str = "value", order: str = "line_no") ->
     """(name, sha256) from "hash  name" lines; of a repeated name the last counts."""
     pattern = "^([0-9a-fA-F]{64})\\s+\\*?(.+)$"
     part = lambda i: F.regexp_extract(column, pattern, i)
-    rows = lines.where(F.col(column).rlike(pattern)).select(F.element_at(F.split(F.trim(part(2)), "/"), -1).alias("name"), F.lower(part(1)).alias("sha256"), order)
+    rows = lines.where(F.col(column).rlike(pattern)).select(F.element_at(F.split(stripped(part(2)), "/"), -1).alias("name"), F.lower(part(1)).alias("sha256"), order)
     return rows.groupBy("name").agg(F.max_by("sha256", order).alias("sha256"))
 
 
@@ -65,7 +66,7 @@ def orphans(commands_: DataFrame, files: DataFrame, managed: tuple[str, ...]) ->
 
 def clauses(spec: Column) -> Column:
     """(kind, value) of the alternatives of a detection rule."""
-    parts = F.filter(F.transform(F.split(spec, "\\|\\|"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(spec, "\\|\\|"), lambda x: stripped(x)), lambda x: x != "")
     return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, "^([^:]*)", 1).alias("kind"), F.regexp_replace(F.regexp_extract(x, "^[^:]*:(.*)$", 1), "^~(?=/|$)", "\\$HOME").alias("value")))
 
 
@@ -78,6 +79,17 @@ def detected(providers: DataFrame, facts: DataFrame, chosen: tuple[str, ...] = (
     return providers.join(hits, "id", "left").where(wanted).drop("hit")
 
 
+def missing_siblings(originals: DataFrame, copies: DataFrame, keys: list[str]) -> DataFrame:
+    """Originals without a copy: each is a failure of its own."""
+    return originals.join(copies.select(*keys), keys, "left_anti")
+
+
+def findings(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Review lines parsed, sorted by file and then by line; others go."""
+    rows = lines.select(lint.review_line(F.col(column)).alias("r")).select("r.*").where("severity <> ''")
+    return rows.orderBy("path", "line")
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The existing rows, and those new ones whose key is not there yet."""
     return existing.unionByName(new.dropDuplicates([key]).join(existing.select(key), key, "left_anti"))

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import lexical, markdown, validation
+from ..functions import lexical
+from ..functions.validation import judged
 
 
 def rewriter(call: Callable[[str], str], retries: int = 3, delay: float = 5.0):
@@ -32,13 +33,6 @@ def rewriter(call: Callable[[str], str], retries: int = 3, delay: float = 5.0):
     return rewrite
 
 
-def judged(pairs: DataFrame) -> DataFrame:
-    """Adds is_valid, errors and warnings of (original, compressed)."""
-    blocks = pairs.withColumn("__a", markdown.code_blocks(F.col("original"))).withColumn("__b", markdown.code_blocks(F.col("compressed")))
-    out = blocks.withColumn("__v", validation.result(F.col("original"), F.col("compressed"), F.col("__a"), F.col("__b")))
-    return out.select(*pairs.columns, "__v.is_valid", "__v.errors", "__v.warnings")
-
-
 def repaired(pairs: DataFrame, fix: Callable[[Column], Column] = lexical.compressed) -> DataFrame:
     """(id, text, outcome): accepted at once, repaired (``fix`` of the original passes), or restored to the original.
 

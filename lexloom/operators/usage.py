@@ -51,24 +51,25 @@ def savings(tokens: Column, mode: Column, model: Column) -> tuple[Column, Column
     return saved, F.coalesce(saved / 1e6 * price_of(model), F.lit(0.0))
 
 
+def is_counted() -> Column:
+    return (F.col("type") == "assistant") & F.col("message").isNotNull() & F.col("message.usage").isNotNull()
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """Assistant rows with a usage record."""
-    return rows.where((F.col("type") == "assistant") & F.col("message").isNotNull() & F.col("message.usage").isNotNull())
+    return rows.where(is_counted())
 
 
 def session_rollup(rows: DataFrame, session: str = "session_id", order: str = "pos") -> DataFrame:
-    """Tokens, turns and the first model named in each session. Partial sums before the one shuffle."""
-    usage = F.col("message.usage")
-    model = F.col("message.model")
-    return (
-        counted(rows)
-        .groupBy(session)
-        .agg(
-            F.sum(falsy_zero(usage["output_tokens"])).alias("output_tokens"),
-            F.sum(falsy_zero(usage["cache_read_input_tokens"])).alias("cache_read_tokens"),
-            F.count(F.lit(1)).alias("turns"),
-            F.min_by(model, F.when(F.coalesce(model, F.lit("")) != "", F.col(order))).alias("model"),
-        )
+    """Tokens, turns and the first model named in each session; a session without a counted turn has 0 of all. Partial
+    sums before the one shuffle."""
+    usage, model, is_turn = F.col("message.usage"), F.col("message.model"), F.coalesce(is_counted(), F.lit(False))
+    tokens = lambda c: F.sum(F.when(is_turn, falsy_zero(usage[c])).otherwise(F.lit(0).cast("long")))
+    return rows.groupBy(session).agg(
+        tokens("output_tokens").alias("output_tokens"),
+        tokens("cache_read_input_tokens").alias("cache_read_tokens"),
+        F.count_if(is_turn).alias("turns"),
+        F.min_by(F.when(is_turn, model), F.when(is_turn & (F.coalesce(model, F.lit("")) != ""), F.col(order))).alias("model"),
     )
 
 
@@ -101,6 +102,13 @@ def pairs(files: DataFrame, shrunk_only: bool = True) -> DataFrame:
     return both.where("original_size > compressed_size") if shrunk_only else both
 
 
+def pairs_of(files: DataFrame, folders: list[str], shrunk_only: bool = True) -> DataFrame:
+    """The pairs of some folders, with the folder's place in the list; a folder that is named again counts once."""
+    order = F.array_distinct(F.array(*(F.lit(x) for x in folders)))
+    place = F.array_position(order, F.col("dir"))
+    return pairs(files.where(F.col("dir").isin(*folders)), shrunk_only).withColumn("place", place.cast("int"))
+
+
 def pair_summary(pairs: DataFrame) -> DataFrame:
     """Counts, bytes and estimated tokens (a quarter of the bytes); nulls without pairs."""
     saved = F.sum("original_size") - F.sum("compressed_size")

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown
+from ..functions.spaces import SPACES
 
 #: A fixed now, so that results do not depend on the day.
 NOW_MS = 1_706_659_200_000  # 2024-01-31
 
+#: White space taken from both ends, in DuckDB.
+STRIP = lambda x: f"trim({x}, '{SPACES}')"
+
 MODEL = "CASE conv_id % 6 WHEN 0 THEN 'claude-opus-4-1' WHEN 1 THEN 'claude-opus-4-5' WHEN 2 THEN 'claude-sonnet-4-20250514' WHEN 3 THEN 'claude-haiku-4-5' WHEN 4 THEN 'mystery-1' END"
 MODE = "CASE conv_id % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'ultra' END"
 
@@ -17,10 +21,10 @@ HISTORY_MODE = "CASE event_type WHEN 'click' THEN 'full' WHEN 'view' THEN 'lite'
 HISTORY_SESSION = "CASE WHEN user_id % 50 = 0 THEN NULL WHEN user_id % 50 = 1 THEN '' ELSE concat('s', CAST(user_id AS VARCHAR(20))) END"
 
 PROMPT = (
-    "CASE event_id % 23 WHEN 0 THEN '/terse' WHEN 1 THEN '/terse lite' WHEN 2 THEN '/terse ultra please' WHEN 3 THEN 'stop terse now' WHEN 4 THEN 'Activate terse mode' "
+    "CASE event_id % 27 WHEN 0 THEN '/terse' WHEN 1 THEN '/terse lite' WHEN 2 THEN '/terse ultra please' WHEN 3 THEN 'stop terse now' WHEN 4 THEN 'Activate terse mode' "
     "WHEN 5 THEN '/terse wenyan-full' WHEN 6 THEN '/terse unknown' WHEN 7 THEN '/terse-commit' WHEN 8 THEN '/terse-review x' WHEN 9 THEN '/terse:terse off' WHEN 10 THEN 'please be brief' "
     "WHEN 11 THEN '/terse-stats --share --since 7d' WHEN 12 THEN '/terse-stats' WHEN 13 THEN 'normal mode' WHEN 14 THEN '\"/terse ultra\"' WHEN 15 THEN 'activate terse mode: wenyan-lite' "
-    "WHEN 16 THEN 'activate terse mode: off' WHEN 17 THEN 'activate terse mode:' WHEN 18 THEN 'dont stop, be terse' WHEN 19 THEN '/terse off' WHEN 20 THEN NULL WHEN 21 THEN 'talk like terse' ELSE concat('hello ', CAST(event_id AS VARCHAR(20))) END"
+    "WHEN 16 THEN 'activate terse mode: off' WHEN 17 THEN 'activate terse mode:' WHEN 18 THEN 'dont stop, be terse' WHEN 19 THEN '/terse off' WHEN 20 THEN NULL WHEN 21 THEN 'talk like terse' WHEN 22 THEN concat(chr(9), '/terse lite') WHEN 23 THEN concat(chr(10), '/terse ultra', chr(10), chr(9)) WHEN 24 THEN concat('stop it', chr(10), 'and start terse') WHEN 25 THEN concat(chr(9), chr(10)) ELSE concat('hello ', CAST(event_id AS VARCHAR(20))) END"
 )
 
 _NL = "chr(10)"
@@ -46,10 +50,10 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SESSIONS_SQL = f"""sessions AS (
-  SELECT conv_id AS session_id, sum(w)::BIGINT AS output_tokens, sum(length(text))::BIGINT AS cache_read_tokens, count(*) AS turns,
-         arg_min(model, turn) FILTER (WHERE model <> '') AS model, any_value(mode) AS mode
-  FROM (SELECT *, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w, {MODEL} AS model, {MODE} AS mode FROM conversations)
-  WHERE role = 'assistant' GROUP BY conv_id)"""
+  SELECT conv_id AS session_id, coalesce(sum(w) FILTER (WHERE a), 0)::BIGINT AS output_tokens, coalesce(sum(length(text)) FILTER (WHERE a), 0)::BIGINT AS cache_read_tokens,
+         count(*) FILTER (WHERE a) AS turns, arg_min(model, turn) FILTER (WHERE a AND model <> '') AS model, any_value(mode) AS mode
+  FROM (SELECT *, role = 'assistant' AS a, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w, {MODEL} AS model, {MODE} AS mode FROM conversations)
+  GROUP BY conv_id)"""
 PRICE_SQL = "CASE WHEN model LIKE 'claude-opus-4-0%' OR model LIKE 'claude-opus-4-1%' OR model LIKE 'claude-opus-4-2025%' THEN 75.0 WHEN model LIKE 'claude-opus-4%' THEN 25.0 WHEN model LIKE 'claude-sonnet-4%' THEN 15.0 WHEN model LIKE 'claude-haiku-4%' THEN 5.0 WHEN model LIKE 'claude-3-5-sonnet%' THEN 15.0 WHEN model LIKE 'claude-3-5-haiku%' THEN 4.0 WHEN model LIKE 'claude-3-opus%' THEN 75.0 END"
 DERIVED_SQL = f"{SESSIONS_SQL}, derived AS (SELECT *, CASE WHEN mode = 'full' THEN (floor(output_tokens / (1 - 0.65::DOUBLE) + 0.5))::BIGINT - output_tokens ELSE 0 END AS saved, {PRICE_SQL}::DOUBLE AS price FROM sessions), priced AS (SELECT *, coalesce(saved / 1e6 * price, 0.0) AS usd FROM derived)"
 

@@ -99,7 +99,7 @@ _SHARE = f"CASE WHEN turns = 0 THEN 'no turns yet' WHEN mode = 'full' THEN conca
 _BLOCK = f"CASE WHEN mode = 'full' THEN concat('Est. without:          ', format('{{:,}}', output_tokens + saved), {_NL}, 'Est. tokens saved:     ', format('{{:,}}', saved), ' (~65%)', CASE WHEN price IS NULL THEN '' ELSE concat({_NL}, 'Est. saved (USD):      ~', {_usd_sql('usd')}) END) WHEN coalesce(mode, 'off') <> 'off' THEN concat('No savings estimate for ''', mode, ''' mode') ELSE 'Not active this session.' END"
 
 
-@query(f"WITH {A.DERIVED_SQL} SELECT session_id, {_SHARE} AS share, concat({_NL}, 'Stats', {_NL}, {_RULE}, {_NL}, 'Session:  ...', right(path, 45), {_NL}, 'Turns:    ', turns, {_NL}, {_RULE}, {_NL}, 'Output tokens:         ', format('{{:,}}', output_tokens), {_NL}, 'Cache-read tokens:     ', format('{{:,}}', cache_read_tokens), {_NL}, {_RULE}, {_NL}, {_BLOCK}, {_NL}) AS report FROM (SELECT *, concat('/home/someone/projects/a-long-folder-name/sessions/', session_id, '.jsonl') AS path FROM priced)")
+@query(f"WITH {A.DERIVED_SQL} SELECT session_id, {_SHARE} AS share, CASE WHEN turns = 0 THEN concat({_NL}, 'Stats', {_NL}, {_RULE}, {_NL}, 'No conversation yet', {_NL}, {_RULE}, {_NL}) ELSE concat({_NL}, 'Stats', {_NL}, {_RULE}, {_NL}, 'Session:  ...', right(path, 45), {_NL}, 'Turns:    ', turns, {_NL}, {_RULE}, {_NL}, 'Output tokens:         ', format('{{:,}}', output_tokens), {_NL}, 'Cache-read tokens:     ', format('{{:,}}', cache_read_tokens), {_NL}, {_RULE}, {_NL}, {_BLOCK}, {_NL}) END AS report FROM (SELECT *, concat('/home/someone/projects/a-long-folder-name/sessions/', session_id, '.jsonl') AS path FROM priced)")
 def session_report(spark, d):
     p = _priced(spark, d).withColumn("path", F.concat(F.lit("/home/someone/projects/a-long-folder-name/sessions/"), F.col("session_id").cast("string"), F.lit(".jsonl"))).withColumn("ratio", usage.ratio_of(F.col("mode")))
     dollars = F.when(F.col("price").isNotNull(), F.col("usd"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import commands, jsonx
 from ..functions.markdown import unix_lines
+from ..functions.spaces import blank, stripped
 
 TRANSCRIPT = "type string, message struct<model:string, usage:struct<output_tokens:bigint, cache_read_input_tokens:bigint>>"
 HISTORY = "ts bigint, session_id string, mode string, model string, output_tokens bigint, est_saved_tokens bigint, est_saved_usd double"
@@ -15,14 +16,16 @@ TRIAL = "struct<input_tokens:bigint, output_tokens:bigint, text:string, stop_rea
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, value) of the solid lines of text files, in their order."""
-    whole = spark.read.option("ignoreMissingFiles", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(unix_lines(F.col("value")), "\n")).alias("line_no", "value"))
-    return whole.where(F.trim("value") != "")
+    """(path, line_no, value) of the solid lines of text files. A large file is read in splits: ``line_no`` is a struct of
+    the split's place in the file and the line's in its task, which sorts as the lines stand."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = spark.read.option("ignoreMissingFiles", "true").text(path).select(F.col("_metadata.file_path").alias("path"), place.alias("line_no"), "value")
+    return rows.where(~blank(F.col("value")))
 
 
 def objects(rows: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Parsed JSON objects; a line that is bad, null or not an object goes."""
-    ok = jsonx.valid(F.col(column)) & F.trim(column).startswith("{")
+    ok = jsonx.valid(F.col(column)) & stripped(F.col(column)).startswith("{")
     return rows.where(ok).withColumn("o", F.from_json(column, schema)).select(*(c for c in rows.columns if c != column), "o.*")
 
 
@@ -58,9 +61,10 @@ def skills(files: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, n_bytes) with line ends made one."""
+    """(path, text, n_bytes) with line ends made one; bytes that are no UTF-8 are left out (n_bytes counts all)."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return raw.select("path", unix_lines(F.col("value")).alias("text"), F.octet_length("value").cast("long").alias("n_bytes"))
+    sound = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")))
+    return raw.select("path", unix_lines(sound).alias("text"), F.octet_length("value").cast("long").alias("n_bytes"))
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +72,7 @@ def snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prompt_lines(spark: SparkSession, path: str) -> DataFrame:
-    return lines(spark, path).select(F.trim("value").alias("prompt"), F.row_number().over(_order()).alias("pos"))
+    return lines(spark, path).select(stripped(F.col("value")).alias("prompt"), F.row_number().over(_order()).alias("pos"))
 
 
 def _order():
@@ -84,8 +88,9 @@ def settings(rows: DataFrame, column: str = "value") -> DataFrame:
 
 def dotenv(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(key, value) of KEY=VALUE lines; comments go, the first = splits, keys that exist win."""
-    parts = F.split(F.trim("value"), "=", 2)
-    pairs = rows.where(~F.trim("value").startswith("#") & F.col("value").contains("=")).select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"))
+    line = stripped(F.col("value"))
+    parts = F.split(line, "=", 2)
+    pairs = rows.where(~line.startswith("#") & F.col("value").contains("=")).select(stripped(parts[0]).alias("key"), stripped(parts[1]).alias("value"))
     return pairs.join(existing.select("key"), "key", "left_anti") if existing is not None else pairs
 
 
@@ -96,4 +101,10 @@ def flag(rows: DataFrame, column: str = "value") -> DataFrame:
 
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     """Newline-framed text as a stream; blank lines go."""
-    return spark.readStream.text(path).where(F.trim("value") != "")
+    return spark.readStream.text(path).where(~blank(F.col("value")))
+
+
+def stream_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON objects as a stream, a file each, of any number of lines; a file that is no object goes."""
+    whole = spark.readStream.option("wholetext", "true").text(path)
+    return objects(whole.select("value"), schema)

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexloom.functions import classify, commands, formatting, jsonx, lexical, lint, markdown, rounding, validation
+from lexloom.functions import classify, commands, environment, formatting, jsonx, lexical, lint, markdown, rounding, spaces, tokens, validation
 
 
 def value(spark, column, **literals):
@@ -44,7 +44,7 @@ def test_markdown_structure(spark):
     assert each(spark, markdown.urls, [MARKDOWN]) == [["https://a.b/c"]]
     assert set(each(spark, markdown.paths, [MARKDOWN])[0]) >= {"./d/e.py", "and/or"}
     assert each(spark, markdown.bullets, [MARKDOWN]) == [3]
-    assert each(spark, markdown.words, ["a  b\nc ", "", None]) == [3, 0, None] or True
+    assert each(spark, markdown.words, ["a  b\nc ", ""]) == [3, 0]
 
 
 @pytest.mark.parametrize(
@@ -83,21 +83,32 @@ def test_markers_are_idempotent(spark):
     assert value(spark, markdown.between(F.col("t"), "<b>", "<e>", F.lit("new")), t="nothing") is None
 
 
-CASES = ["The user is the owner of an account", "Sure, this just basically returns the value", "I will perhaps connect to the database", "Run the example: ```\nthe just sure return 1;\n``` and also more text", "Use `the just basically API` for fetching", "See the docs at https://example.com/the/just/api", "Read just the file at /tmp/the/just/file.txt", "Set the API_KEY_VALUE on the just config.api.endpoint()", "", None, "théâtre the été"]
+CASES = [
+    "The clerk holds the key of an office",
+    "Certainly, it really only simply reads a row",
+    "I'll maybe open the ledger",
+    "Call it so: ```\na just sure row;\n``` and then the next",
+    "Type `a really simply row` to begin",
+    "More is at https://ledger.example/a/simply/page",
+    "Open just the sheet under /srv/the/really/sheet.csv",
+    "Put the ROW_LIMIT_MAX into the really sheet.rows.limit()",
+    "",
+    None,
+    "théâtre the été",
+]
 
 
 def test_lexical_compressor(spark):
     got = each(spark, lexical.compressed, CASES)
-    assert got[0] == "user is owner of account"
-    assert not any(w in got[1].lower() for w in ("sure", "just", "basically"))
-    assert got[2] == "connect to database"
-    assert "```\nthe just sure return 1;\n```" in got[3] and "`the just basically API`" in got[4]
-    assert "https://example.com/the/just/api" in got[5] and "/tmp/the/just/file.txt" in got[6]
-    assert "API_KEY_VALUE" in got[7] and "config.api.endpoint()" in got[7] and " the " not in got[7]
+    assert got[0] == "clerk holds key of office"
+    assert got[1] == "it only reads row" and got[2] == "open ledger"
+    assert "```\na just sure row;\n```" in got[3] and got[3].endswith("and then next") and "`a really simply row`" in got[4]
+    assert "https://ledger.example/a/simply/page" in got[5] and got[6] == "Open sheet under /srv/the/really/sheet.csv"
+    assert got[7] == "Put ROW_LIMIT_MAX into sheet.rows.limit()"
     assert got[8] == "" and got[9] is None and got[10] == "théâtre été"
-    weather = "Get the current weather for a given location. Returns the temperature in Fahrenheit. Please make sure to provide the location as a city name."
-    r = value(spark, lexical.report(F.col("t")), t=weather)
-    assert (r["before"] - r["after"]) / r["before"] > 0.15 and "city name" in r["compressed"]
+    described = "Lists the open orders of a customer. Please make sure to name the customer, and perhaps the year of an order."
+    r = value(spark, lexical.report(F.col("t")), t=described)
+    assert (r["before"] - r["after"]) / r["before"] > 0.15 and "open orders" in r["compressed"] and "year of order" in r["compressed"]
     assert each(spark, lexical.rephrased, ["In order to run, make sure to test. However, stop"]) == ["to run, ensure test. stop"]
 
 
@@ -135,12 +146,22 @@ def test_command_dialects(spark):
     s = value(spark, commands.stats_command(F.col("p")), p="/terse-stats --share --since 7d")
     assert (s["is_stats"], s["share"], s["all"], s["since"]) == (True, True, False, "7d")
     assert each(spark, commands.duration_ms, ["7d", "12h", "x", "3m", ""]) == [604_800_000, 43_200_000, None, None, None]
-    assert each(spark, commands.valid, [" Full ", "nope", "x" * 70, None]) == ["full", None, None, None]
+    assert each(spark, commands.valid, [" Full ", "\tlite\n", "nope", "x" * 70, None]) == ["full", "lite", None, None, None]
+
+
+def test_white_space_of_all_kinds(spark):
+    prompts = {"\t/terse lite": "lite", "\n/terse lite\n": "lite", "\u00a0stop terse\u2003": "off", "stop it\nand start terse": None, "\n\t": None}
+    assert dict(zip(prompts, each(spark, commands.hook_command, list(prompts)), strict=True)) == prompts
+    assert each(spark, commands.plugin_command, ["\n'/terse ultra'\t", "\t"]) == ["ultra", None]
+    assert each(spark, spaces.blank, ["\n\t \u3000", "", "x", None]) == [True, True, False, None]
+    refused = lambda c: classify.refusal(F.lit("/w/a.md"), c, F.lit("\n\t"))
+    assert each(spark, refused, ["\n\t\n", "text"]) == ["empty input", "empty output"]
+    assert each(spark, classify.is_yaml, ["a: 1\n\t\n\t\n\t\nb: 2"]) == [True]
+    assert each(spark, markdown.headings, ["# a\u00a0\t"])[0][0]["title"] == "a"
 
 
 def check(spark, a, b):
-    df = spark.createDataFrame([(a, b)], "a string, b string").withColumn("x", markdown.code_blocks("a")).withColumn("y", markdown.code_blocks("b"))
-    return df.select(validation.result(F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("v")).first()["v"]
+    return validation.judged(spark.createDataFrame([(a, b)], "original string, compressed string")).first()
 
 
 def test_validation_rules(spark):
@@ -157,7 +178,7 @@ def test_validation_rules(spark):
 
 
 def test_json(spark):
-    assert each(spark, jsonx.without_comments, ['{"a": "//x", /* c */ "b": [1, 2,], // d\n}']) == ['{"a": "//x",  "b": [1, 2] \n}'] or True
+    assert each(spark, jsonx.without_comments, ['{"a": "//x", /* c */ "b": [1, 2,], // d\n}']) == ['{"a": "//x",  "b": [1, 2] \n}']
     parsed = each(spark, lambda c: F.try_variant_get(jsonx.parsed(c), "$.a", "string"), ['{"a": 1}', '{"a": 2, // x\n}', "", "nope"])
     assert parsed == ["1", "2", None, None]
     deep = jsonx.deep_rewriter(("description", "note"))
@@ -170,3 +191,76 @@ def test_lint(spark):
     assert each(spark, lint.shell_tokens, ["node \"/a b/c.js\" 'x y' --z"]) == [["node", "/a b/c.js", "x y", "--z"]]
     assert each(spark, lambda c: lint.expanded(c, "/h"), ["$HOME/a", "~/b", "~", "a~b"]) == ["/h/a", "/h/b", "/h", "a~b"]
     assert each(spark, lint.plain_description, ["a", "a <b>"]) == [True, False]
+
+
+MESSAGE = '{"jsonrpc":"2.0","id":7,"result":{"tools":[{"name":"the n","description":"The item","inputSchema":{"p":{"description":"the inner"}}}],"nextCursor":"c","size":1.0}}'
+
+
+def test_rewritten_messages_keep_their_fields(spark):
+    nested = '{"id":1.5,"result":{"tools":[{"description":"item","inputSchema":{"description":"the inner"}}],"resources":[null,3,{"description":null}]}}'
+    others = ['{"id":1}', "not {json", '{"result":null}', '{"result":[{"description":"the a"}]}', "[1,2]", "null", '{"a":NaN}', None]
+    got = each(spark, jsonx.rewritten, [MESSAGE, nested, *others])
+    assert got[0] == MESSAGE.replace("The item", "item").replace("1.0}}", "1}}")
+    assert got[1] == nested.replace("the inner", "inner")
+    assert got[2:] == ['{"id":1}', "not {json", '{"result":null}', '{"result":[{"description":""}]}', "[1,2]", "null", '{"a":NaN}', None]
+    assert each(spark, jsonx.rewriter(("note",)), ['{"result":{"tools":[{"note":"the a b","description":"the x"}]}}']) == ['{"result":{"tools":[{"note":"b","description":"the x"}]}}']
+    assert jsonx.field_list(" a, ,b") == ("a", "b") and jsonx.field_list(None) == ("description",)
+
+
+def test_settings_keep_their_fields(spark):
+    text = '{"model":"m", // c\n"hooks":{"Start":[{"matcher":"x","own":[1],"hooks":[{"type":"command","command":"node terse.js","async":true},{"type":"command","command":""}]},{"odd":1}],"Stop":[{"hooks":[{"type":"agent","prompt":"p"}]}]},}'
+    one = lambda f: each(spark, f, [text])[0]
+    got = one(jsonx.settings_sound())
+    assert got["changed"] == 1 and got["settings"] == '{"model":"m","hooks":{"Start":[{"matcher":"x","own":[1],"hooks":[{"type":"command","command":"node terse.js","async":true}]}],"Stop":[{"hooks":[{"type":"agent","prompt":"p"}]}]}}'
+    got = one(jsonx.settings_without("terse"))
+    assert got["changed"] == 1 and '"async"' not in got["settings"] and '"own":[1]' in got["settings"]
+    assert each(spark, jsonx.settings_without("p"), ['{"hooks":{"S":[{"hooks":[{"command":"p"}]}]},"x":1}'])[0]["settings"] == '{"x":1}'
+    add = jsonx.settings_with("Start", "node b", "terse")
+    assert tuple(one(add)) == (text_without_comments(text), 0)
+    assert [tuple(r) for r in each(spark, add, ["", "nope", '{"hooks":{"Start":7}}', None])] == [('{"hooks":{"Start":[{"hooks":[{"type":"command","command":"node b"}]}]}}', 1), ("nope", 0), ('{"hooks":{"Start":[{"hooks":[{"type":"command","command":"node b"}]}]}}', 1), (None, 0)]
+
+
+def text_without_comments(text):
+    import json
+
+    return json.dumps(json.loads(text.replace(" // c\n", "").replace(",}", "}")), separators=(",", ":"))
+
+
+LONG = {
+    "word": "x" * 1_000_000, "dots": "a." * 500_000, "capitals": "A_" * 500_000, "lines": "\n" * 1_000_000, "spaces": " " * 1_000_000, "quotes": "`" * 1_000_000, "fences": "```\n" * 250_000, "hashes": "# " * 500_000,
+    "bullets": "- \n" * 333_000, "slashes": "a/" * 500_000, "schemes": "https://" * 125_000, "string": '{"a": "' + "x" * 1_000_000 + '"}', "escapes": '{"a": "' + "\\\\" * 500_000 + '"}', "open": '"' + "x" * 1_000_000, "comments": "/*" * 500_000,
+    "keys": "---\ntools:\n" + "  - a\n" * 160_000 + "---\nx", "starts": "activate " * 110_000, "prose": "the word of a text, just so. " * 35_000,
+}
+FUNCTIONS = {
+    "compressed": lexical.compressed, "rephrased": lexical.rephrased, "headings": lambda c: F.size(markdown.headings(c)), "urls": lambda c: F.size(markdown.urls(c)), "paths": lambda c: F.size(markdown.paths(c)), "bullets": markdown.bullets, "codes": lambda c: F.size(markdown.inline_codes(c)),
+    "blocks": lambda c: F.size(markdown.code_blocks(c)), "front": lambda c: markdown.front_matter(c)["front"], "loose": lambda c: markdown.front_matter_loose(c)["front"], "bare": markdown.body_only, "inner": lambda c: markdown.without_key_inside(c, "tools"), "key": lambda c: markdown.without_key(c, "tools"), "unwrapped": markdown.unwrapped,
+    "block": lambda c: markdown.with_block(c, "<b>", "<e>", "x"), "cut": lambda c: markdown.without_block(c, "<b>", "<e>"), "comments": jsonx.without_comments, "parsed": lambda c: jsonx.parsed(c).isNull(), "rewritten": lambda c: jsonx.rewritten(c), "hook": commands.hook_command, "plugin": commands.plugin_command,
+    "stats": lambda c: commands.stats_command(c)["is_stats"], "kind": lambda c: classify.kind_of(F.lit("/w/LICENSE"), c), "refusal": lambda c: classify.refusal(F.lit("/w/a.md"), c, F.lit("x")), "words": markdown.words, "preview": formatting.preview, "commit": lambda c: F.size(lint.commit_violations(c)), "review": lambda c: lint.review_line(c)["path"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(FUNCTIONS))
+def test_texts_of_a_megabyte(spark, name):
+    """No text overflows the stack or takes time beyond its length."""
+    import time
+
+    df = spark.createDataFrame(list(LONG.items()), "k string, v string").repartition(4)
+    start = time.time()
+    assert df.select("k", FUNCTIONS[name](F.col("v")).alias("x")).agg(F.count("k"), F.max(F.length(F.col("x").cast("string")))).first()[0] == len(LONG)
+    assert time.time() - start < 60
+
+
+def test_tokens_and_environment(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    own.save(str(tmp_path / "t.json"))
+    count = tokens.counter(str(tmp_path / "t.json"))
+    assert each(spark, count, ["a b, c", "", None]) == [4, 0, None]
+    assert each(spark, tokens.counter(), ["a b, c", ""]) == [3, 0]
+    assert each(spark, lambda c: environment.switched_on(c, True), ["0", "", None, "1"]) == [False, True, True, True]
+    assert each(spark, lambda c: environment.switched_on(c, False), ["0", "", None, "1"]) == [False, False, False, True]
+    quoted = {"": '""', "plain": "plain", "a b": '"a b"', 'a"': '"a\\""', 'a\\" b\\': '"a\\\\\\" b\\\\"'}
+    assert dict(zip(quoted, each(spark, formatting.windows_quoted, list(quoted)), strict=True)) == quoted
+    assert each(spark, formatting.display_mode, ["wenyan", "lite", None]) == ["wenyan-full", "lite", None]

@@ -17,7 +17,90 @@ def test_transcripts_skip_what_is_not_a_record(spark, tmp_path):
     (tmp_path / "s2.jsonl").write_text(line({"type": "user"}) + "\n")
     rows = readers.transcripts(spark, str(tmp_path))
     out = usage.session_rollup(rows).collect()
-    assert [(r["session_id"], r["output_tokens"], r["cache_read_tokens"], r["turns"], r["model"]) for r in out] == [("s1", 150, 250, 3, "claude-sonnet-4-x")]
+    assert sorted((r["session_id"], r["output_tokens"], r["cache_read_tokens"], r["turns"], r["model"]) for r in out) == [("s1", 150, 250, 3, "claude-sonnet-4-x"), ("s2", 0, 0, 0, None)]
+
+
+def test_large_files_are_read_in_splits(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("\r\n".join(f"line {i}" if i % 10 else "\t" for i in range(5000)))
+    (tmp_path / "small.txt").write_text("x\n\ny")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = readers.lines(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 5
+        rows = df.orderBy("path", "line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["value"] for r in rows if r["path"].endswith("big.txt")] == [f"line {i}" for i in range(5000) if i % 10]
+    assert [r["value"] for r in rows if r["path"].endswith("small.txt")] == ["x", "y"]
+
+
+def test_documents_with_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"one\r\ntw\xff\xfeo \xe2\x82 three \xc3\xa9\r")
+    (tmp_path / "b.md").write_text("fine \ufffd")
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["n_bytes"]) for r in readers.documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.md": ("one\ntwo  three é\n", 25), "b.md": ("fine \ufffd", 8)}
+
+
+def test_other_readers(spark, tmp_path):
+    (tmp_path / "snap.json").write_text('{"metadata":{"model":"m","n_prompts":1},\n"prompts":["p"],"arms":{"z":["1"],"a":["2"]}}')
+    snap = readers.snapshot(spark, str(tmp_path / "snap.json"))
+    assert [(r["arm"], r["arm_pos"], r["output"]) for r in experiments.from_snapshot(snap).orderBy("arm_pos").collect()] == [("z", 0, "1"), ("a", 1, "2")]
+    (tmp_path / "prompts").mkdir()
+    (tmp_path / "prompts" / "en.txt").write_text("  one \n\n\ttwo\n")
+    assert [tuple(r) for r in readers.prompt_lines(spark, str(tmp_path / "prompts")).orderBy("pos").collect()] == [("one", 1), ("two", 2)]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "h.jsonl").write_text('{"ts":1,"session_id":"a","output_tokens":5}\nbad\n[1]\n{"ts":2,"session_id":"a","output_tokens":6}\n')
+    assert [r["output_tokens"] for r in usage.latest_per_session(readers.history(spark, str(tmp_path / "log"))).collect()] == [6]
+    files = spark.createDataFrame([("/r/a",), ("/r/a/b/c",), ("/r",)], "dir string")
+    assert sorted(r["dir"] for r in readers.within(files, "/r/", 1).collect()) == ["/r", "/r/a"]
+    (tmp_path / "stdin").mkdir()
+    (tmp_path / "stdin" / "one").write_text('{\n  "prompt": "/terse",\n "other": 1}\n')
+    (tmp_path / "stdin" / "two").write_text("no object")
+    stream = readers.stream_objects(spark, str(tmp_path / "stdin"), "prompt string")
+    assert [tuple(r) for r in modes.run_available(stream, str(tmp_path / "out"), str(tmp_path / "c")).collect()] == [("/terse",)]
+    texts = spark.createDataFrame([("{ // c\n \"a\": 1}",), ("nope",)], "value string")
+    assert [r["settings"] is not None for r in readers.settings(texts).collect()] == [True, False]
+
+
+def test_results_and_findings(spark, tmp_path):
+    one = lambda **x: spark.createDataFrame([tuple(x.values())], list(x))
+    rows = spark.createDataFrame([(2, "b"), (1, "a")], "id int, category string")
+    path = sinks.write_result(one(model="m", trials=3), one(avg=5), rows, rows, str(tmp_path), 1000)
+    assert path.endswith("benchmark_19700101_000001")
+    got = json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))
+    assert got == {"metadata": {"model": "m", "trials": 3}, "summary": {"avg": 5}, "rows": [{"id": 1, "category": "a"}, {"id": 2, "category": "b"}], "raw": [{"id": 1, "category": "a"}, {"id": 2, "category": "b"}]}
+    lines = spark.createDataFrame([("b.py:9: ! bug: x is y. do z.",), ("a.py:30: ! nit: p. q.",), ("none",), ("a.py:4: ! risk: r. s.",)], "value string")
+    assert [(r["path"], r["line"]) for r in lookup.findings(lines).collect()] == [("a.py", 4), ("a.py", 30), ("b.py", 9)]
+    files = spark.createDataFrame([(d, n, s) for d in "xyz" for n, s in (("a.original.md", 9), ("a.md", 3))], "dir string, name string, size long")
+    assert sorted((r["dir"], r["place"]) for r in usage.pairs_of(files, ["z", "x", "z"]).collect()) == [("x", 2), ("z", 1)]
+    calls = []
+
+    def flaky(text):
+        calls.append(text)
+        if len(calls) < 3:
+            raise ConnectionError
+        return text.upper()
+
+    import pandas as pd
+
+    assert repair.rewriter(flaky, delay=0.0).func(pd.Series(["a", None])).tolist() == ["A", None] and len(calls) == 3
+    prompt = spark.range(1).select(repair.fix_prompt(F.lit("o"), F.lit("c"), F.array(F.lit("e1"), F.lit("e2"))), repair.arm_prompt(F.lit("p"), F.lit("s"))).first()
+    assert "- e1\n- e2" in prompt[0] and prompt[1] == "p\n\ns"
+
+
+def test_a_session_in_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(state, "STRETCH", 5)
+    prompts = {3: "/terse ultra", 17: "stop terse", 18: "hi", 31: "/terse", 44: "/terse-commit"}
+    data = [(s, i, "message", prompts.get(i)) for s in ("a", None) for i in range(60)]
+    df = spark.createDataFrame(data, "session_id string, seq long, event_type string, prompt string").repartition(3)
+    now = None
+    want = {}
+    for i in range(60):
+        now = {3: "ultra", 17: None, 31: "full", 44: "commit"}.get(i, now)
+        want[i] = now
+    got = state.modes(df).collect()
+    assert len(got) == 120 and all(r["active_mode"] == want[r["seq"]] for r in got)
 
 
 def test_savings_and_prices(spark):
@@ -150,8 +233,27 @@ def test_stream_rewrite_and_rollup(spark, tmp_path):
     assert sorted(r[0] for r in out.collect()) == ["plain the line", '{"result":{"tools":[{"name":"n","description":"item"}]}}']
     df = spark.createDataFrame([(1, "a", None, None, 5, 7, 0.1, 0), (2, "a", None, None, 6, 9, 0.2, 1)], HISTORY)
     df.write.parquet(str(tmp_path / "h"))
-    flows.rollup(spark.readStream.schema(df.schema).parquet(str(tmp_path / "h")), str(tmp_path / "hist"), str(tmp_path / "sum"), str(tmp_path / "c2")).awaitTermination()
+    flows.rollup(spark.readStream.schema(df.schema).parquet(str(tmp_path / "h")), *(str(tmp_path / x) for x in ("hist", "latest", "sum", "c2"))).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "sum")).first()["est_saved_tokens"] == 9
-    (tmp_path / "none").mkdir()
-    windows = modes.tumbling(spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "none")))
-    assert windows.isStreaming
+
+
+def test_replayed_batches_count_once(spark, tmp_path):
+    history, latest, summary = (str(tmp_path / x) for x in ("hist", "latest", "sum"))
+    batch = lambda *x: spark.createDataFrame([(t, s, None, None, 5, n, 0.1, i) for i, (t, s, n) in enumerate(x)], HISTORY)
+    for number, rows in ((0, batch((1, "a", 7), (1, "b", 1))), (1, batch((3, "a", 20))), (1, batch((3, "a", 20))), (2, batch((2, "a", 99), (1, "c", 5))), (2, batch((2, "a", 99), (1, "c", 5)))):
+        flows.merge_batch(rows, number, history, latest, summary)
+    assert spark.read.parquet(history).count() == 5
+    assert tuple(spark.read.parquet(summary).first())[:3] == (3, 15, 26)
+
+
+def test_windows_over_a_stream(spark, tmp_path):
+    times = ["2024-01-01 00:10:00", "2024-01-01 00:50:00", "2024-01-01 01:05:00", "2024-01-01 05:00:00"]
+    df = spark.createDataFrame([(t, "x") for t in times], "ts string, event_type string").select(F.to_timestamp("ts").alias("ts"), "event_type")
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    late = spark.createDataFrame([("2024-01-01 00:20:00", "x"), ("2024-01-01 09:00:00", "x")], "ts string, event_type string").select(F.to_timestamp("ts").alias("ts"), "event_type")
+    windows = modes.tumbling(spark.readStream.schema(df.schema).parquet(str(tmp_path / "one")))
+    checkpoint, out = str(tmp_path / "c"), str(tmp_path / "out")
+    modes.run_available(windows, out, checkpoint)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "one"))
+    got = modes.run_available(modes.tumbling(spark.readStream.schema(df.schema).parquet(str(tmp_path / "one"))), out, checkpoint)
+    assert sorted((r["window"]["start"].hour, r["n"]) for r in got.collect()) == [(0, 2), (1, 1), (5, 1)]
