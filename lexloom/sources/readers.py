@@ -106,5 +106,5 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON objects as a stream, a file each, of any number of lines; a file that is no object goes."""
-    whole = spark.readStream.option("wholetext", "true").text(path)
+    whole = spark.readStream.text(path, wholetext=True)
     return objects(whole.select("value"), schema)
