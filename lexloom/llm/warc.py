@@ -11,7 +11,9 @@ WARC/1.1 records, written and read through Spark's own file layer (any store tha
 two line ends, which is the row separator, and the reader goes by Content-Length, so payloads may hold separators.
 
 Defined cases: a null payload is empty; a record whose key is null is a response unless another of its group has a
-key; rows repeated with the same key and payload are all responses if theirs is the largest key; a null url is left out.
+key; rows repeated with the same key and payload are one record written again (all responses, if theirs is the largest
+key), rows that share a key have record ids of their own, which name the payload's digest too; a null url is left out; an
+empty table gives no records; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
+def key_of(record_id: str) -> str:
+    return record_id.removeprefix(URN).rpartition(";sha1=")[0] or record_id.removeprefix(URN)
+
+
 def _head(fields: list[tuple[str, str]], length: int) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"Content-Length: {length}\r\n\r\n").encode()
 
@@ -51,12 +57,13 @@ def encode_record(key: str | None, url: str | None, payload: memoryview, refers_
     for i in range(0, len(payload), chunk_bytes):
         sha.update(payload[i : i + chunk_bytes])
     digest = base32(sha.digest())
-    name = f"<{URN}{'null' if key is None else key}>"
+    own_name = lambda k: f"{URN}{'null' if k is None else k};sha1={digest}"  # rows that share a key differ by payload
+    name = f"<{own_name(key)}>"
     fields = [("WARC-Record-ID", name), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     fields += [("WARC-Target-URI", _clean(url))] if url is not None else []
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is not None:
-        yield _head([("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{URN}{refers_to}>"), *fields], len(http)) + http
+        yield _head([("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{own_name(refers_to)}>"), *fields], len(http)) + http
         return
     cuts = range(0, max(len(payload), 1), chunk_bytes)
     for i, at in enumerate(cuts):
@@ -65,7 +72,7 @@ def encode_record(key: str | None, url: str | None, payload: memoryview, refers_
             own = [("WARC-Type", "response"), *fields] + ([("WARC-Segment-Number", "1")] if len(cuts) > 1 else [])
             yield _head(own, len(http) + len(part)) + http + part
         else:
-            own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{URN}{'null' if key is None else key};segment={i + 1}>"), ("WARC-Date", date), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(i + 1))]
+            own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{own_name(key)};segment={i + 1}>"), ("WARC-Date", date), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(i + 1))]
             own += [("WARC-Segment-Total-Length", str(len(http) + len(payload)))] if i == len(cuts) - 1 else []
             yield _head(own, len(part)) + part
 
@@ -133,7 +140,7 @@ class Reader:
             self.record["last"] = "warc-segment-total-length" in fields
         else:
             name = fields["warc-record-id"].strip("<>")
-            self.record = {"id": name, "type": kind, "key": name.removeprefix(URN), "refers": fields.get("warc-refers-to", "").strip("<>").removeprefix(URN) or None, "sha": hashlib.sha1(), "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "http": b"" if kind in ("response", "revisit") else None, "length": None, "at": 0, "chunk": 0, "last": "warc-segment-number" not in fields}
+            self.record = {"id": name, "type": kind, "key": key_of(name), "refers": key_of(fields.get("warc-refers-to", "").strip("<>")) or None, "sha": hashlib.sha1(), "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "http": b"" if kind in ("response", "revisit") else None, "length": None, "at": 0, "chunk": 0, "last": "warc-segment-number" not in fields}
 
     def _body(self, part: bytes) -> Iterator[dict]:
         r = self.record
