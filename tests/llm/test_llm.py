@@ -59,6 +59,66 @@ def test_quality_base_and_bands(docs, texts):
     assert sorted(r["doc_id"] or -1 for r in rows(kept)) == sorted(r["doc_id"] or -1 for r in out if r["kept"])
 
 
+def plain_model(texts, table, order, classes):
+    """Modified Kneser-Ney over the classes of characters, in plain Python: log10 probability by context and class."""
+    seen = collections.Counter()
+    for t in texts:
+        codes = [quality.SPACE] * (order - 1) + [int(table[min(ord(c), 0xFFFF)]) for c in t]
+        seen.update(tuple(codes[i : i + order]) for i in range(len(codes) - order + 1))
+    levels = [seen]
+    for _ in range(order - 1):
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+
+    def discounts(counts):
+        n = [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        return [0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] else 0.5 * k, 0.05 * k), 0.95 * k) for k in (1, 2, 3)]
+
+    cut = [discounts(c) for c in levels]
+    follow = [collections.defaultdict(list) for _ in levels]
+    for c, f in zip(levels, follow, strict=True):
+        for g, n in c.items():
+            f[g[:-1]].append(n)
+
+    def p(gram):
+        k = order - len(gram)
+        below = p(gram[1:]) if len(gram) > 1 else 1 / classes
+        counts = follow[k].get(gram[:-1])
+        if not counts:
+            return below
+        n, total = levels[k].get(gram, 0), sum(counts)
+        return (n - cut[k][min(n, 3)]) / total + sum(cut[k][min(x, 3)] for x in counts) / total * below
+
+    return p
+
+
+def test_perplexity_and_bands_equal_a_plain_version(spark):
+    rng = random.Random(23)
+    made = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    some = [(i, made("aeioulnrst", rng.randint(15, 60)), "en") for i in range(60)] + [(100 + i, made("абвгдежз", 30), "ru") for i in range(30)] + [(200, "qzx7#" * 90, "en"), (201, "", "en"), (202, None, "en"), (203, "x" * 400 + " y" * 30, "ru"), (204, some_text := made("aeio", 40), "en"), (205, some_text, "en")]
+    out = {r["doc_id"]: r for r in rows(quality.assess(spark.createDataFrame(some, "doc_id long, text string, lang string").repartition(3)))}
+    languages, tables = quality.alphabets(spark.createDataFrame(some, "doc_id long, text string, lang string"), "text", "lang")
+    for lang in ("en", "ru"):
+        table = tables[languages.index(lang)]
+        texts = {i: t or "" for i, t, own in some if own == lang}
+        p = plain_model(set(texts.values()), table, quality.ORDER, quality.CLASSES)
+        own = {}
+        for i, t in texts.items():
+            codes = [quality.SPACE] * (quality.ORDER - 1) + [int(table[min(ord(c), 0xFFFF)]) for c in t]
+            total = sum(math.log10(p(tuple(codes[j : j + quality.ORDER]))) for j in range(len(t)))
+            own[i] = -total / len(t) if t else 0.0
+            assert abs(out[i]["log_perplexity"] - own[i]) < 1e-4, (i, own[i])
+        ranked = sorted(round(own[i] * quality.BIN) for i in {t: i for i, t in texts.items()}.values() if len(words(texts[i])) >= 20)
+        at = lambda q: ranked[math.ceil(q * len(ranked)) - 1] / quality.BIN  # noqa: B023, E731
+        reach = 4.0 * max(at(0.75) - at(0.25), 10 / quality.BIN)
+        low, high = at(0.25) - reach, at(0.75) + reach
+        for i in texts:
+            r = out[i]
+            assert abs(r["lower_band"] - low) < 2.1 / quality.BIN + 8.1 / quality.BIN and abs(r["upper_band"] - high) < 10.2 / quality.BIN
+            if abs(own[i] - low) > 11 / quality.BIN and abs(own[i] - high) > 11 / quality.BIN:
+                assert r["kept"] == (not r["base_failed"] and low <= own[i] <= high)
+
+
 def test_copies_do_not_set_the_bands(spark):
     """A group of copies that holds most of a language; the same texts once each are judged alike."""
     rng = random.Random(4)
