@@ -8,5 +8,9 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a local folder where none is set (as in tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-")).rstrip("/")
+    """``spark.checkpoint.dir`` of the session, or a local folder where none is set and executors are threads of the driver
+    (as in tests); on a cluster a missing setting is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (path or tempfile.mkdtemp(prefix="lexloom-")).rstrip("/")
