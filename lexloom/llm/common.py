@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -19,6 +21,8 @@ WORD_BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _CHUNK = 1 << 20
+#: Bytes of texts that are hashed at once: what is made of them stays in a core's own cache.
+_PIECE = 1 << 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -28,12 +32,15 @@ _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where none is."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where none is and executors
+    are threads of the driver (as in tests). A cluster without that setting is an error: its machines share no folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = java.get() if java.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lexloom-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -94,11 +101,11 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tup
 
 def word_parts(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As ``word_hashes``, and the words' first bytes and ends. A giant text goes in pieces that end between words."""
-    if len(bounds) != 2 or len(data) <= 4 * _CHUNK:
+    if len(bounds) != 2 or len(data) <= 4 * _PIECE:
         return _word_parts(data, bounds, lower)
     found, start = [], 0
     while start < len(data):
-        end = start + _CHUNK
+        end = start + _PIECE
         while end < len(data) and _SOLID[data[end]]:  # the word at the border belongs to this piece
             step = np.flatnonzero(~_SOLID[data[end : end + 4096]])
             end = end + int(step[0]) if len(step) else end + 4096
@@ -142,7 +149,18 @@ def binary_parts(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def text_chunks(column, limit: int = _CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(batches, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of so many rows, so that what is made of one is small; at the end the worker gives back memory
+    that it no longer needs (it lives on, idle, beside the next stage's work)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_chunks(column, limit: int = _PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, bounds) of runs of texts of about ``limit`` bytes; a longer text is a run of its own."""
     data, at = binary_parts(column)
     row, n = 0, len(at) - 1

@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, k: int, text: str, key: str) -> DataFrame:
     """(key, n, hash of the set, registers); the last two are null for an empty set."""
 
     def sketch(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             n, hashes, regs = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for row, own in shingle_sets(batch.column(1), k):
                 n[row], hashes[row], regs[row] = len(own), name_of(own), registers(own).tobytes()
@@ -217,7 +217,7 @@ def verified(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
 
     def sets(batches):
         seen = set()  # rows that repeat a key and a text
-        for batch in batches:
+        for batch in common.slices(batches, 256):
             names, out = batch.column(0).to_pylist(), {}
             for row, own in shingle_sets(batch.column(1), k):
                 if names[row] not in seen and name_of(own) == names[row]:  # rows that share a key may have other texts

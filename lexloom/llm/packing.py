@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "te
 
     def tokenize(batches):
         encode = encoder(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             keys, texts = batch.column(0), batch.column(1)
             out = [(j, k, *p) for j in range(batch.num_rows) for k, p in enumerate(cut(encode(texts[j].as_py() or "") + end, capacity))]
             rows = np.array(out, np.int64).reshape(-1, 5)

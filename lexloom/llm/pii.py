@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 # The kinds in the order of the result, and the characters of the grammars.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "key", "secret")
@@ -303,7 +305,7 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
 
     def scan(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             found = [find(x) if x else {} for x in batch.column(1).to_pylist()]
             counts = [pa.array([len(x.get(k, ())) for x in found], pa.int64()) for k in BASE_KINDS]
             hashed = pa.array([hashlib.sha256(listed(x, BASE_KINDS).encode()).hexdigest() for x in found], pa.string())
@@ -319,7 +321,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
     length = length if length in docs.columns else None
 
     def rewrite(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             names = batch.schema.names
             texts = batch.column(names.index(text)).to_pylist()
             fixed = [x if not x or not (found := find(x)) else redacted(x, found) for x in texts]
