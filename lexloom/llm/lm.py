@@ -172,20 +172,22 @@ class Network:
             at += self.w[k].size
         return Network(out)
 
-    def run(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """States after each of some steps: x and reset are (steps, lanes); and what backpropagation needs."""
-        u, g = self.w["u"], self.w["g"]
-        states, kept = np.empty((*x.shape, HIDDEN), np.float32), []
+    def run(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
+        """States after each of some steps: x and reset are (steps, lanes); and what backpropagation needs, if kept: the
+        states before, both gates, the candidates and their recurrent part."""
+        u, g, begins = self.w["u"], self.w["g"], reset.any(1)
+        kept = tuple(np.empty((*x.shape, k * HIDDEN), np.float32) for k in (1, 2, 1, 1)) if keep else ()
+        states = np.empty((*x.shape, HIDDEN), np.float32)
         for t in range(len(x)):
-            if reset[t].any():
+            if begins[t]:
                 h = np.where(reset[t][:, None], np.float32(0), h)
             a, b = g[x[t]], h @ u
-            zr = sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(a[:, 2 * HIDDEN :] + r * b[:, 2 * HIDDEN :])
-            new = n + z * (h - n)
-            kept.append((h, z, r, n, b[:, 2 * HIDDEN :]))
-            states[t] = h = new
+            zr, inner = sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN]), b[:, 2 * HIDDEN :]
+            n = np.tanh(a[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * inner)
+            if keep:
+                for store, value in zip(kept, (h, zr, n, inner), strict=True):
+                    store[t] = value
+            states[t] = h = n + zr[:, :HIDDEN] * (h - n)
         return states, kept
 
     def output(self, s: np.ndarray, kind: np.ndarray, word: np.ndarray, grad: bool = False):
@@ -197,50 +199,58 @@ class Network:
         np.exp(logits, out=logits)
         total = logits.sum(1, keepdims=True)
         p = chosen - np.log(total[:, 0])
-        grads = {}
-        if grad:
-            logits /= total
-            logits[at, kind] -= 1
-            ds = logits @ w["wc"].T
-            grads = {"wc": s.T @ logits, "bc": logits.sum(0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
+        # Rows of one frequent class lie together, so each class is one product and all else is done at once.
         order = np.argsort(kind, kind="stable")
         edges = np.searchsorted(kind[order], np.arange(WIDE + 1))
-        for c in range(WIDE):
-            rows = order[edges[c] : edges[c + 1]]
-            if not len(rows):
-                continue
-            own, target = s[rows], word[rows]
-            l = own @ w["ww"][c] + w["bw"][c]
-            i = np.arange(len(rows))
-            chosen = l[i, target]
-            np.exp(l, out=l)
-            total = l.sum(1, keepdims=True)
-            p[rows] += chosen - np.log(total[:, 0])
-            if grad:
-                l /= total
-                l[i, target] -= 1
-                grads["ww"][c], grads["bw"][c] = own.T @ l, l.sum(0)
-                ds[rows] += l @ w["ww"][c].T
-        return (p, grads, ds) if grad else p
-
-    def back(self, x: np.ndarray, reset: np.ndarray, kept: list, ds: np.ndarray) -> dict[str, np.ndarray]:
-        u, du = self.w["u"], np.zeros_like(self.w["u"])
-        da, dh = np.empty((*x.shape, 3 * HIDDEN), np.float32), np.zeros_like(ds[0])
+        rows = order[: edges[-1]]
+        own, target, i = s[rows], word[rows], np.arange(len(rows))
+        runs = [(c, a, b) for c, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
+        inner = np.empty((len(rows), DEEP), np.float32)
+        for c, a, b in runs:
+            np.matmul(own[a:b], w["ww"][c], out=inner[a:b])
+        inner += w["bw"][kind[rows]]
+        chosen = inner[i, target]
+        np.exp(inner, out=inner)
+        inner_total = inner.sum(1, keepdims=True)
+        p[rows] += chosen - np.log(inner_total[:, 0])
+        if not grad:
+            return p
+        logits /= total
+        logits[at, kind] -= 1
+        inner /= inner_total
+        inner[i, target] -= 1
+        ds, back = logits @ w["wc"].T, np.empty((len(rows), HIDDEN), np.float32)
+        grads = {"wc": s.T @ logits, "bc": logits.sum(0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
+        for c, a, b in runs:
+            np.matmul(own[a:b].T, inner[a:b], out=grads["ww"][c])
+            np.matmul(inner[a:b], w["ww"][c].T, out=back[a:b])
+        if runs:
+            grads["bw"][[c for c, _, _ in runs]] = np.add.reduceat(inner, [a for _, a, _ in runs], axis=0)
+        ds[rows] += back
+        return p, grads, ds
+
+    def back(self, x: np.ndarray, reset: np.ndarray, kept: tuple, ds: np.ndarray) -> dict[str, np.ndarray]:
+        h, zr, n, inner = kept
+        z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (h - n) * z * (1 - z), inner * r * (1 - r)
+        back, begins = np.ascontiguousarray(self.w["u"].T), reset.any(1)
+        da, db = (np.empty((*x.shape, 3 * HIDDEN), np.float32) for _ in range(2))
+        dh = np.zeros_like(ds[0])
         for t in range(len(x) - 1, -1, -1):
-            h, z, r, n, bn = kept[t]
             dh = dh + ds[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * bn * r * (1 - r)
-            da[t] = np.concatenate([dz, dr, dn], 1)
-            db = np.concatenate([dz, dr, dn * r], 1)
-            du += h.T @ db
-            dh = dh * z + db @ u.T
-            if reset[t].any():
+            dn = dh * to_n[t]
+            da[t, :, :HIDDEN] = dh * to_z[t]
+            da[t, :, HIDDEN : 2 * HIDDEN] = dn * to_r[t]
+            da[t, :, 2 * HIDDEN :] = dn
+            db[t, :, : 2 * HIDDEN] = da[t, :, : 2 * HIDDEN]
+            db[t, :, 2 * HIDDEN :] = dn * r[t]
+            dh = dh * z[t] + db[t] @ back
+            if begins[t]:
                 dh[reset[t]] = 0
         ids = x.ravel()
         order = np.argsort(ids, kind="stable")
         rows, first = np.unique(ids[order], return_index=True)
+        du = h.reshape(-1, HIDDEN).T @ db.reshape(-1, 3 * HIDDEN)
         return {"u": du, "rows": rows, "g": np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], first, axis=0)}
 
 
@@ -345,7 +355,7 @@ def lane_scores(net: Network, before: np.ndarray, kind: np.ndarray, word: np.nda
         live = int((lengths > at).sum())
         steps = min(4 * STEPS, int(lengths[live - 1]) - at)  # all live lanes have so many left
         rows = np.stack([x[at : at + steps] for x in index[:live]], 1)
-        s, _ = net.run(before[rows], begins[rows], h[:live])
+        s, _ = net.run(before[rows], begins[rows], h[:live], keep=False)
         h = s[-1]
         flat = rows.ravel()
         out[flat] = net.output(s.reshape(-1, HIDDEN), kind[flat], word[flat])

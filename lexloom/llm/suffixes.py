@@ -14,7 +14,8 @@ A span counts wherever its words occur again: in another document or elsewhere i
 written, whatever white space lies between them.
 
 Defined cases: texts that are null or shorter than ``MIN_WORDS`` have no spans; rows that share a key are one document
-(they are no copies of each other); rows without a key are left out; other columns are ignored.
+(they are no copies of each other); rows without a key are left out; a very long text is hashed in pieces and held as 8
+bytes a word; an empty table gives no spans; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
