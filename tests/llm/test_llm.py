@@ -158,6 +158,52 @@ def test_quality_probabilities_sum_to_one():
         assert abs(p.sum() - 1) < 1e-4
 
 
+def test_each_character_has_its_own_probability(spark):
+    """More letters than classes, some beyond the basic plane: equal to a plain class model with shares; no two letters are one."""
+    rng = random.Random(17)
+    letters = [chr(0x4E00 + i) for i in range(200)] + [chr(0x20000 + i) for i in range(40)]
+    weights = [1 / (i + 2) for i in range(len(letters))]
+    made = ["".join(rng.choices([*letters, " ", ",", "?", "#", "%", "7", "3"], [*weights, 1, 0.2, 0.1, 0.1, 0.1, 0.1, 0.1], k=rng.randint(80, 200))) for _ in range(40)]
+    some = [(i, t, "zh") for i, t in enumerate([*made, made[0], "", None])]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string").repartition(3)
+    languages, tables = quality.alphabets(df, "text", "lang")
+    alphabet, texts = tables[languages.index("zh")], set(made)
+    read = lambda c: "7" if c in "73" else c
+    stand_in = {c: chr(0xE000 + i) for i, c in enumerate(letters)}  # plain_model folds what lies beyond the basic plane
+    classes = collections.defaultdict(int) | {ord(x): int(alphabet[ord(c)]) for c, x in stand_in.items()} | {ord(c): int(alphabet[ord(c)]) for c in " ,?#%73"}
+    p = plain_model({"".join(stand_in.get(c, c) for c in t) for t in texts}, classes, quality.ORDER, quality.CLASSES)
+    n = collections.Counter(read(c) for t in texts for c in t)
+    total = collections.Counter()
+    for c, k in n.items():
+        total[int(alphabet[ord(c)])] += k
+    got = {r["doc_id"]: r["log_perplexity"] for r in rows(quality.assess(df))}
+    for i, t in enumerate(made):
+        codes = [quality.SPACE] * (quality.ORDER - 1) + [int(alphabet[ord(c)]) for c in t]
+        want = -sum(math.log10(p(tuple(codes[j : j + quality.ORDER]))) + math.log10(n[read(c)] / total[int(alphabet[ord(c)])]) for j, c in enumerate(t)) / len(t)
+        assert abs(got[i] - want) < 1e-4, (i, got[i], want)
+    assert got[40] == got[0] and got[41] == got[42] == 0
+    alphabet.share(alphabet.letters, np.arange(1, len(n) + 1))
+    assert all(abs((10.0 ** alphabet.shares[alphabet.classes == one].astype(float)).sum() - 1) < 1e-6 for one in set(alphabet.classes.tolist()))
+    assert len(alphabet.letters) == len(n) and len({int(alphabet[ord(c)]) for c in letters}) <= quality.CLASSES < len(letters)
+
+
+def test_all_languages_have_models_of_their_own(spark, monkeypatch):
+    """Languages beyond those whose models are broadcast: the same rows as if all were, and as if each were alone."""
+    rng = random.Random(19)
+    made = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    alphabets = {"en": "aeioulnrst", "ru": "абвгдежзик", "el": "αβγδεζηθικ", "zh": [chr(0x4E00 + i) for i in range(90)], "xx": "aeiou", None: "mnopqrst"}
+    texts = [(made(letters, rng.randint(15, 60)), lang) for i, (lang, letters) in enumerate(alphabets.items()) for _ in range(30 - 3 * i)]
+    texts += [("zq7#%" * 60, "ru"), ("", "el"), (None, "zh"), ("x", "yy"), (None, "zz"), texts[70], texts[70], ("é Ü 😀 " * 30, "xx")]
+    df = spark.createDataFrame([(i, t, lang, "k", 1.5) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string, judge string, row double").repartition(3)
+    want, good = {r["doc_id"]: r for r in rows(quality.assess(df))}, rows(quality.keep_good(df))
+    monkeypatch.setattr(quality, "LANGUAGES", 2)
+    assert {r["doc_id"]: r for r in rows(quality.assess(df))} == want and len(want) == len(texts)
+    kept = quality.keep_good(df)
+    assert kept.schema == df.schema and sorted(map(repr, rows(kept))) == sorted(map(repr, good)) and 0 < len(good) < len(texts)
+    for lang in ("el", "xx", "zz"):
+        assert all(want[r["doc_id"]] == r for r in rows(quality.assess(df.where(df.lang == lang))))
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(5)
     big = "".join(rng.choice("ab\r\n<>é") for _ in range(300_000))
