@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from .spaces import blank, stripped
 
@@ -21,6 +21,10 @@ FENCED = ("(?md)^```[\\s\\S]*?^```", "(?md)^~~~[\\s\\S]*?^~~~")
 FRONT = "(?s)\\A(---\\r?\\n.*?\\r?\\n---\\r?\\n)(.*)"
 WRAPPED = "(?s)\\A\\s*+(`{3,}+|~{3,}+)[^\\n]*+\\n(.*)\\n(`{3,}+|~{3,}+)\\s*+\\z"
 _FENCE = re.compile(r"[ \t\r\f\v]{0,3}(`{3,}|~{3,})(.*)")
+_INDENT, _BLANK = "[ \\t\\r\\f\\x0B]{0,3}+", "[ \\t\\r\\f\\x0B\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]*+"
+_CLOSED = "|".join(f"({c}{{3,}}+)[^\\n]*+[\\s\\S]*?\\n{_INDENT}\\{k}{c}*+{_BLANK}(?=\\n|\\z)" for k, c in ((2, "`"), (3, "~")))
+#: A closed block as group 1; or a fence that never closes, and the rest, without that group.
+BLOCK = f"(?md)^({_INDENT}(?:{_CLOSED}))|^{_INDENT}(?:```|~~~)[\\s\\S]*+"
 
 
 def unix_lines(text: Column) -> Column:
@@ -81,9 +85,9 @@ def fenced_blocks(text: str | None) -> list[str] | None:
     return out
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def code_blocks(texts: pd.Series) -> pd.Series:
-    return texts.map(fenced_blocks)
+def code_blocks(text: Column) -> Column:
+    """``fenced_blocks`` as an expression, so that rows need not pass through Python."""
+    return F.filter(F.regexp_extract_all(text, F.lit(BLOCK), 1), lambda block: block != "")
 
 
 def front_matter(text: Column) -> Column:

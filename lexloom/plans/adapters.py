@@ -43,6 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key to as many tasks as a shuffle has. A small file is one task's split, whatever is made of its rows."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as (session_id, pos, type, message, mode): words as tokens, characters as cached tokens."""
     usage = F.struct(markdown.words(F.col("text")).alias("output_tokens"), F.length("text").cast("long").alias("cache_read_input_tokens"))
@@ -83,4 +89,6 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.expr(ORIGINAL).alias("original"), F.expr(SHORTER).alias("compressed"), F.expr(PATH).alias("path"))
+    """Parts are narrow and their texts are not, so rows are dealt out before the texts are made."""
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
+    return parts.select("p_partkey", F.expr(ORIGINAL).alias("original"), F.expr(SHORTER).alias("compressed"), F.expr(PATH).alias("path"))

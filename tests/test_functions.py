@@ -1,5 +1,7 @@
 """Golden values of the column functions."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,6 +66,25 @@ def test_fenced_blocks(text, blocks):
     assert markdown.fenced_blocks(text) == blocks
 
 
+def test_fenced_blocks_as_an_expression(spark):
+    """The same blocks as the plain version's; no Python in the plan."""
+    rng = random.Random(11)
+    fence = ["```", "````", "~~~", "~~~~", "`````", "``", "~~", "`~`"]
+    line = lambda: rng.choice(["", " ", "   ", "    ", "\t", "\f"]) + rng.choice([*fence, "x", ""]) + rng.choice(["", "", "", " ", "py", " x", "\r", "\x1c", "\x85", "\u3000", "\u200b", "`", "\u2028y"])
+    texts = ["\n".join(line() for _ in range(rng.randint(0, 12))) + rng.choice(["", "\n"]) for _ in range(4000)] + [None, "", "```\n" + "x\n" * 100_000 + "```"]
+    assert sum(len(markdown.fenced_blocks(t) or []) for t in texts) > 1000
+    assert each(spark, markdown.code_blocks, texts) == [markdown.fenced_blocks(t) for t in texts]
+    assert "Python" not in spark.range(1).select(markdown.code_blocks(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_a_small_file_are_many_tasks(spark, tmp_path):
+    from lexloom.plans import adapters
+
+    spark.createDataFrame([(i, f"n{i}", "b", "t", i % 9, 1.0) for i in range(2000)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    pairs = adapters.markdown_pairs(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(pairs) >= 4 and sum(r["count"] for r in pairs) == 2000 and max(r["count"] for r in pairs) < 1000
+
+
 def test_front_matter(spark):
     text = "---\nname: x\ntools:\n  - a\n\t- b\nlast: 1\n---\nbody\n---\n"
     front, body = value(spark, markdown.front_matter(F.col("t")), t=text)
