@@ -23,10 +23,15 @@ CODES_LOST, CODES_ADDED = "Inline code lost: ", "Inline code added: "
 FACTS = {"headings": markdown.headings, "blocks": markdown.code_blocks, "urls": markdown.urls, "paths": markdown.paths, "bullets": markdown.bullets, "codes": markdown.inline_codes}
 
 
+def facts_of(rows: DataFrame, texts: dict[str, str], names: tuple[str, ...] = tuple(FACTS)) -> DataFrame:
+    """Adds the facts of texts (line ends made one) as columns <side>_<fact>; ``texts`` has the column of each side."""
+    lines = rows.withColumns({f"__{side}": markdown.unix_lines(F.col(c)) for side, c in texts.items()})
+    return lines.withColumns({f"{side}_{n}": FACTS[n](F.col(f"__{side}")) for n in names for side in texts}).drop(*(f"__{side}" for side in texts))
+
+
 def facts(pairs: DataFrame, original: str = "original", compressed: str = "compressed", names: tuple[str, ...] = tuple(FACTS)) -> DataFrame:
-    """Adds the facts of both texts (line ends made one) as columns a_<fact> and b_<fact>."""
-    texts = pairs.withColumns({"__a": markdown.unix_lines(F.col(original)), "__b": markdown.unix_lines(F.col(compressed))})
-    return texts.withColumns({f"{side}_{n}": FACTS[n](F.col(f"__{side}")) for n in names for side in "ab"}).drop("__a", "__b")
+    """Adds the facts of both texts as columns a_<fact> and b_<fact>."""
+    return facts_of(pairs, {"a": original, "b": compressed}, names)
 
 
 def _listed(items: Column) -> Column:
@@ -96,9 +101,13 @@ ERRORS = (("headings", heading_error), ("blocks", block_error), ("urls", url_err
 WARNINGS = (("headings", heading_warning), ("paths", path_warning), ("bullets", bullet_warning), ("codes", inline_warning))
 
 
+def said(rules, a: str = "a", b: str = "b") -> Column:
+    """What rules find between the facts of two sides."""
+    return F.array_compact(F.array(*(rule(F.col(f"{a}_{n}"), F.col(f"{b}_{n}")) for n, rule in rules)))
+
+
 def judged(pairs: DataFrame, original: str = "original", compressed: str = "compressed") -> DataFrame:
     """Adds is_valid, errors and warnings of pairs of texts."""
     found = facts(pairs, original, compressed)
-    said = lambda rules: F.array_compact(F.array(*(rule(F.col(f"a_{n}"), F.col(f"b_{n}")) for n, rule in rules)))
     out = found.withColumns({"errors": said(ERRORS), "warnings": said(WARNINGS)})
     return out.select(*pairs.columns, (F.size("errors") == 0).alias("is_valid"), "errors", "warnings")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexical
-from ..functions.validation import judged
+from ..functions.validation import ERRORS, facts, facts_of, said
 
 
 def rewriter(call: Callable[[str], str], retries: int = 3, delay: float = 5.0):
@@ -36,13 +36,16 @@ def rewriter(call: Callable[[str], str], retries: int = 3, delay: float = 5.0):
 def repaired(pairs: DataFrame, fix: Callable[[Column], Column] = lexical.compressed) -> DataFrame:
     """(id, text, outcome): accepted at once, repaired (``fix`` of the original passes), or restored to the original.
 
-    The branches are split by filters, so the repair and its validation run on failed rows only.
+    One pass: no text's facts are found twice. Rows that pass go to ``fix`` as null, and there is nothing to find in a null;
+    a filter instead would be pushed below the facts, and find them anew for each of its conditions.
     """
-    first = judged(pairs)
-    good = first.where("is_valid").select("id", F.col("compressed").alias("text"), F.lit("accepted").alias("outcome"))
-    again = judged(first.where("not is_valid").select("id", "original", fix(F.col("original")).alias("compressed")))
-    text = F.when(F.col("is_valid"), F.col("compressed")).otherwise(F.col("original"))
-    return good.unionByName(again.select("id", text.alias("text"), F.when(F.col("is_valid"), "repaired").otherwise("restored").alias("outcome")))
+    names = tuple(n for n, _ in ERRORS)
+    first = facts(pairs.select("id", "original", "compressed"), names=names).withColumn("__good", F.size(said(ERRORS)) == 0)
+    failed = lambda c: F.when(~F.col("__good"), c)
+    fixed = first.withColumn("__fixed", failed(fix(failed(F.col("original")))))
+    again = facts_of(fixed, {"c": "__fixed"}, names).withColumn("__fine", F.size(said(ERRORS, "a", "c")) == 0)
+    way = lambda good, fine, left: F.when(F.col("__good"), good).when(F.col("__fine"), fine).otherwise(left)
+    return again.select("id", way(F.col("compressed"), F.col("__fixed"), F.col("original")).alias("text"), way(F.lit("accepted"), F.lit("repaired"), F.lit("restored")).alias("outcome"))
 
 
 def fix_prompt(original: Column, compressed: Column, errors: Column) -> Column:

@@ -212,6 +212,21 @@ def test_repair_loop(spark):
     assert [r[0] for r in pairs.orderBy("id").select(shout("compressed")).collect()][1] == "ITEM"
 
 
+def test_repair_loop_finds_each_fact_once(spark):
+    """Three texts of a row, and so three times each fact; only failed rows are repaired, also by a function in Python."""
+    from lexloom.functions import markdown
+
+    rows = [(1, "the `a` item", "`a` item"), (2, "the `a` item", "item"), (3, "# H\nthe https://x.y/a", "x"), (4, None, "x"), (5, "x", None), (6, "```\na\n```\nthe `b`", "`b`")]
+    pairs = spark.createDataFrame(rows, "id int, original string, compressed string")
+    plan = repair.repaired(pairs).groupBy("outcome").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(markdown.FENCED[0]) == plan.count(f"{markdown.URL}, 0)") == 3 and plan.count(markdown.HEADING) == 6 and "Filter" not in plan
+    seen = lambda t: t.replace("the ", "") if t != "x" else 1 / 0
+    got = {r["id"]: (r["outcome"], r["text"]) for r in repair.repaired(pairs, repair.rewriter(seen)).collect()}
+    assert got == {1: ("accepted", "`a` item"), 2: ("repaired", "`a` item"), 3: ("repaired", "# H\nhttps://x.y/a"), 4: ("accepted", "x"), 5: ("accepted", None), 6: ("repaired", "```\na\n```\n`b`")}
+    lost = {r["id"]: (r["outcome"], r["text"]) for r in repair.repaired(pairs, lambda c: F.lit("x")).collect()}
+    assert lost == got | {i: ("restored", rows[i - 1][1]) for i in (2, 3, 6)}
+
+
 MESSAGES = [("s", 0, "session.created", None), ("s", 1, "message", "/terse ultra"), ("s", 2, "message", "hello"), ("s", 3, "session.idle", None), ("s", 4, "message", "/terse-commit"), ("s", 5, "message", "stop terse"), ("s", 6, "message", "hi"), ("t", 0, "message", "x"), ("t", 1, "message", "/terse lite")]
 
 
