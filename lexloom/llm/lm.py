@@ -37,7 +37,7 @@ SHORT = WIDE * DEEP
 TAIL = 48
 CLASSES = WIDE + TAIL
 HIDDEN = 16
-STEPS, LANES, SCORE_LANES = 16, 128, 1024
+STEPS, LANES, SCORE_LANES, SCORE_ROWS = 16, 128, 1024, 4096
 #: Output weights stay within this, so that no logit overflows.
 BOUND = 4.0
 ROUNDS, RATE = 3, 0.08
@@ -74,19 +74,25 @@ def vocabulary(docs: DataFrame, text: str, key: str) -> DataFrame:
 
     def count(batches):
         h, k, n = np.zeros(0, np.uint64), np.zeros(0, np.int16), np.zeros(0, np.int64)
+        ahead = []  # summed pieces, merged some at a time
 
         def merged(parts):
             hh, kk, nn = (np.concatenate(x) for x in zip(*parts, strict=True))
-            u, first, inverse = np.unique(hh, return_index=True, return_inverse=True)
-            return u, kk[first], np.bincount(inverse, nn, len(u)).astype(np.int64)
+            order = np.argsort(hh)
+            hh = hh[order]
+            first = np.flatnonzero(np.r_[True, hh[1:] != hh[:-1]][: len(hh)])
+            return (hh[first], np.minimum.reduceat(kk[order], first), np.add.reduceat(nn[order], first)) if len(hh) else (hh, kk, nn)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 hh, kk, _ = tokens(batch.column(0).slice(at, 2000))
-                h, k, n = merged([(h, k, n), merged([(hh, kk, np.ones(len(hh), np.int64))])])
+                ahead.append(merged([(hh, kk, np.ones(len(hh), np.int64))]))
+                if sum(len(x[0]) for x in ahead) > 300_000:
+                    (h, k, n), ahead = merged([(h, k, n), *ahead]), []
                 if len(h) > 2_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(n)], names=["h", "kind", "n"])
                     h, k, n = h[:0], k[:0], n[:0]
+        h, k, n = merged([(h, k, n), *ahead])
         for at in range(0, len(h), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (h.view(np.int64), k, n)], names=["h", "kind", "n"])
 
@@ -106,13 +112,35 @@ class Lexicon:
     tail_tokens: np.ndarray
     tail_types: np.ndarray
     short_counts: np.ndarray = field(default_factory=lambda: np.zeros(SHORT))
+    _starts: tuple[np.uint64, np.ndarray, int] | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_starts": None}
+
+    def starts(self) -> tuple[np.uint64, np.ndarray, int]:
+        """(shift, first place of each bucket of leading bits, most words in a bucket); two buckets a word or so."""
+        if self._starts is None:
+            bits = min(20, len(self.hashes).bit_length())
+            shift = np.uint64(64 - bits)
+            starts = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
+            self._starts = shift, starts, int(np.diff(starts, append=len(self.hashes)).max())
+        return self._starts
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, slot) of tokens; count -1 where the token is not in the head."""
         if not len(self.hashes):
             return np.full(len(h), -1, np.int64), np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        shift, starts, most = self.starts()
+        last = len(self.hashes) - 1
+        at = np.minimum(starts[(h >> shift).view(np.int64)], last)
         hit = self.hashes[at] == h
+        left = np.flatnonzero(~hit) if most > 1 else np.zeros(0, np.int64)
+        for _ in range(1, most):  # the further words of a bucket
+            left = left[self.hashes[at[left]] < h[left]]
+            at[left] = np.minimum(at[left] + 1, last)
+            found = self.hashes[at[left]] == h[left]
+            hit[left[found]] = True
+            left = left[~found]
         return np.where(hit, self.counts[at], -1), np.where(hit, self.slots[at], -1)
 
 
@@ -143,10 +171,6 @@ def lexicon(vocab: DataFrame) -> Lexicon:
     return Lexicon(int(total or 0), int(distinct), head["h"].to_numpy()[order], head["n"].to_numpy()[order], slots[order], tail_tokens, tail_types, short)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-
-
 class Network:
     """Weights: ``g`` input rows for the three gates (short words, tail classes, start), ``u`` recurrent, ``wc, bc`` classes, ``ww, bw`` words in frequent classes."""
 
@@ -175,83 +199,100 @@ class Network:
     def run(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
         """States after each of some steps: x and reset are (steps, lanes); and what backpropagation needs, if kept: the
         states before, both gates, the candidates and their recurrent part."""
-        u, g, begins = self.w["u"], self.w["g"], reset.any(1)
+        half = np.r_[np.full(2 * HIDDEN, 0.5, np.float32), np.ones(HIDDEN, np.float32)]  # a gate is tanh of half its sum
+        u, begins = self.w["u"] * half, reset.any(1)
         kept = tuple(np.empty((*x.shape, k * HIDDEN), np.float32) for k in (1, 2, 1, 1)) if keep else ()
         states = np.empty((*x.shape, HIDDEN), np.float32)
+        g = self.w["g"] * half
+        b, zr, n = (np.empty((x.shape[1], k * HIDDEN), np.float32) for k in (3, 2, 1))
         for t in range(len(x)):
             if begins[t]:
                 h = np.where(reset[t][:, None], np.float32(0), h)
-            a, b = g[x[t]], h @ u
-            zr, inner = sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN]), b[:, 2 * HIDDEN :]
-            n = np.tanh(a[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * inner)
+            a = g.take(x[t], 0)
+            np.matmul(h, u, out=b)
             if keep:
-                for store, value in zip(kept, (h, zr, n, inner), strict=True):
-                    store[t] = value
-            states[t] = h = n + zr[:, :HIDDEN] * (h - n)
+                kept[0][t], kept[3][t] = h, b[:, 2 * HIDDEN :]
+                zr, n = kept[1][t], kept[2][t]
+            np.add(a[:, : 2 * HIDDEN], b[:, : 2 * HIDDEN], out=zr)
+            np.tanh(zr, out=zr)
+            zr *= np.float32(0.5)
+            zr += np.float32(0.5)
+            np.multiply(zr[:, HIDDEN:], b[:, 2 * HIDDEN :], out=n)
+            n += a[:, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            own = states[t]
+            np.subtract(h, n, out=own)
+            own *= zr[:, :HIDDEN]
+            own += n
+            h = own
         return states, kept
 
     def output(self, s: np.ndarray, kind: np.ndarray, word: np.ndarray, grad: bool = False):
         """Natural log probabilities of classes (and, in frequent classes, words) at states; with gradients of their negative sum."""
-        w = self.w
-        logits = s @ w["wc"] + w["bc"]
-        at = np.arange(len(s))
-        chosen = logits[at, kind]
+        w, m = self.w, len(s)
+        s = np.concatenate([s, np.ones((m, 1), np.float32)], axis=1)  # the last input's weights are the biases
+        logits = np.concatenate([w["wc"], w["bc"][None]]).T @ s.T  # a class a line, so that what is done to all tokens runs along them
+        at = kind * np.int64(m) + np.arange(m)
+        flat = logits.reshape(-1)
+        chosen = flat[at]
         np.exp(logits, out=logits)
-        total = logits.sum(1, keepdims=True)
-        p = chosen - np.log(total[:, 0])
+        total = np.ones(CLASSES, np.float32) @ logits
+        p = chosen - np.log(total)
         # Rows of one frequent class lie together, so each class is one product and all else is done at once.
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(WIDE + 1))
+        order = np.argsort(kind.astype(np.int8), kind="stable")  # by radix, as all sorts of so short integers
+        edges = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=CLASSES)[:WIDE])])
         rows = order[: edges[-1]]
-        own, target, i = s[rows], word[rows], np.arange(len(rows))
+        own, i = s.take(rows, 0), np.arange(0, len(rows) * DEEP, DEEP) + word[rows]
         runs = [(c, a, b) for c, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
-        inner = np.empty((len(rows), DEEP), np.float32)
+        inner, ww = np.empty((len(rows), DEEP), np.float32), np.concatenate([w["ww"], w["bw"][:, None]], axis=1)
         for c, a, b in runs:
-            np.matmul(own[a:b], w["ww"][c], out=inner[a:b])
-        inner += w["bw"][kind[rows]]
-        chosen = inner[i, target]
+            np.matmul(own[a:b], ww[c], out=inner[a:b])
+        words = inner.reshape(-1)
+        chosen = words[i]
         np.exp(inner, out=inner)
-        inner_total = inner.sum(1, keepdims=True)
+        inner_total = inner @ np.ones((DEEP, 1), np.float32)
         p[rows] += chosen - np.log(inner_total[:, 0])
         if not grad:
             return p
         logits /= total
-        logits[at, kind] -= 1
+        flat[at] -= 1
         inner /= inner_total
-        inner[i, target] -= 1
-        ds, back = logits @ w["wc"].T, np.empty((len(rows), HIDDEN), np.float32)
-        grads = {"wc": s.T @ logits, "bc": logits.sum(0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
+        words[i] -= 1
+        ds, back = logits.T @ w["wc"].T, np.empty((len(rows), HIDDEN), np.float32)
+        of_classes, of_words = s.T @ logits.T, np.zeros_like(ww)
         for c, a, b in runs:
-            np.matmul(own[a:b].T, inner[a:b], out=grads["ww"][c])
+            np.matmul(own[a:b].T, inner[a:b], out=of_words[c])
             np.matmul(inner[a:b], w["ww"][c].T, out=back[a:b])
-        if runs:
-            grads["bw"][[c for c, _, _ in runs]] = np.add.reduceat(inner, [a for _, a, _ in runs], axis=0)
         ds[rows] += back
-        return p, grads, ds
+        return p, {"wc": of_classes[:-1], "bc": of_classes[-1], "ww": of_words[:, :-1], "bw": of_words[:, -1]}, ds
 
     def back(self, x: np.ndarray, reset: np.ndarray, kept: tuple, ds: np.ndarray) -> dict[str, np.ndarray]:
         h, zr, n, inner = kept
         z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
-        to_n, to_z, to_r = (1 - z) * (1 - n * n), (h - n) * z * (1 - z), inner * r * (1 - r)
+        to_n, to_z, to_r = 1 - n * n, h - n, inner * r
+        to_n *= 1 - z
+        to_z *= z * (1 - z)
+        to_r *= 1 - r
         back, begins = np.ascontiguousarray(self.w["u"].T), reset.any(1)
-        da, db = (np.empty((*x.shape, 3 * HIDDEN), np.float32) for _ in range(2))
+        db, dn = np.empty((*x.shape, 3 * HIDDEN), np.float32), np.empty((*x.shape, HIDDEN), np.float32)
         dh = np.zeros_like(ds[0])
         for t in range(len(x) - 1, -1, -1):
-            dh = dh + ds[t]
-            dn = dh * to_n[t]
-            da[t, :, :HIDDEN] = dh * to_z[t]
-            da[t, :, HIDDEN : 2 * HIDDEN] = dn * to_r[t]
-            da[t, :, 2 * HIDDEN :] = dn
-            db[t, :, : 2 * HIDDEN] = da[t, :, : 2 * HIDDEN]
-            db[t, :, 2 * HIDDEN :] = dn * r[t]
-            dh = dh * z[t] + db[t] @ back
+            dh += ds[t]
+            np.multiply(dh, to_n[t], out=dn[t])
+            np.multiply(dh, to_z[t], out=db[t, :, :HIDDEN])
+            np.multiply(dn[t], to_r[t], out=db[t, :, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn[t], r[t], out=db[t, :, 2 * HIDDEN :])
+            dh *= z[t]
+            dh += db[t] @ back
             if begins[t]:
                 dh[reset[t]] = 0
-        ids = x.ravel()
-        order = np.argsort(ids, kind="stable")
-        rows, first = np.unique(ids[order], return_index=True)
         du = h.reshape(-1, HIDDEN).T @ db.reshape(-1, 3 * HIDDEN)
-        return {"u": du, "rows": rows, "g": np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], first, axis=0)}
+        db[..., 2 * HIDDEN :] = dn
+        ids = x.ravel().astype(np.int16)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        return {"u": du, "rows": ids[first], "g": np.add.reduceat(db.reshape(-1, 3 * HIDDEN).take(order, 0), first, axis=0)}
 
 
 def coded(lex: Lexicon, h: np.ndarray, kind: np.ndarray, bounds: np.ndarray):
@@ -269,7 +310,13 @@ def coded(lex: Lexicon, h: np.ndarray, kind: np.ndarray, bounds: np.ndarray):
 def train_task(start: Network, lex: Lexicon, columns):
     """One task's share of a round; returns its network and tokens."""
     net = Network({k: v.copy() for k, v in start.w.items()})
-    sums = {k: np.full_like(v, 1e-2) for k, v in net.w.items()}
+    # All weights but the input rows lie in one vector, bounded ones first, and take a step at once.
+    names = ("wc", "ww", "bc", "bw", "u")
+    dense = np.concatenate([net.w[k].ravel() for k in names])
+    bounded = net.w["wc"].size + net.w["ww"].size
+    ends = np.cumsum([net.w[k].size for k in names])
+    net.w |= {k: dense[end - net.w[k].size : end].reshape(net.w[k].shape) for k, end in zip(names, ends, strict=True)}
+    sums, row_sums = np.full_like(dense, 1e-2), np.full_like(net.w["g"], 1e-2)
     seen = 0
     for column in columns:
         _, before, kind, word, begins = coded(lex, *(x := tokens(column))[:2], x[2])
@@ -279,28 +326,33 @@ def train_task(start: Network, lex: Lexicon, columns):
         lanes = max(1, min(LANES, len(before) // (4 * STEPS)))
         length = -(-len(before) // lanes)
         pad = lanes * length - len(before)  # the last lane's end: reset rows that no gradient counts
-        shape = lambda v, fill: np.concatenate([v, np.full(pad, fill, v.dtype)]).reshape(lanes, length).T  # noqa: B023, E731
+        shape = lambda v, fill: np.ascontiguousarray(np.concatenate([v, np.full(pad, fill, v.dtype)]).reshape(lanes, length).T)  # noqa: B023, E731
         xs, ks, ws, rs, live = shape(before, SHORT + TAIL), shape(kind, 0), shape(word, 0), shape(begins, True), shape(np.ones(len(before), bool), False)
         h = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, length, STEPS):
             x, r, ok = xs[t : t + STEPS], rs[t : t + STEPS], live[t : t + STEPS].ravel()
             s, kept = net.run(x, r, h)
             h = s[-1]
-            _, grads, ds = net.output(s.reshape(-1, HIDDEN)[ok], ks[t : t + STEPS].ravel()[ok], ws[t : t + STEPS].ravel()[ok], True)
-            full = np.zeros((len(ok), HIDDEN), np.float32)
-            full[ok] = ds
+            s, k, w = s.reshape(-1, HIDDEN), ks[t : t + STEPS].ravel(), ws[t : t + STEPS].ravel()
+            if ok.all():
+                _, grads, full = net.output(s, k, w, True)
+            else:
+                _, grads, ds = net.output(s[ok], k[ok], w[ok], True)
+                full = np.zeros((len(ok), HIDDEN), np.float32)
+                full[ok] = ds
             grads |= net.back(x, r, kept, full.reshape(*x.shape, HIDDEN))
-            rows, scale = grads.pop("rows"), np.float32(1 / max(1, int(ok.sum())))
-            for k, v in grads.items():
-                v = np.clip(v * scale * 64, -1, 1)
-                if k == "g":
-                    sums["g"][rows] += v * v
-                    net.w["g"][rows] -= RATE * v / np.sqrt(sums["g"][rows])
-                else:
-                    sums[k] += v * v
-                    net.w[k] -= RATE * v / np.sqrt(sums[k])
-                    if k in ("wc", "ww"):
-                        np.clip(net.w[k], -BOUND, BOUND, out=net.w[k])
+            rows, scale = grads.pop("rows"), np.float32(64 / max(1, int(ok.sum())))
+            v = grads.pop("g") * scale
+            np.clip(v, -1, 1, out=v)
+            total = row_sums[rows] + v * v
+            row_sums[rows] = total
+            net.w["g"][rows] -= RATE * v / np.sqrt(total)
+            v = np.concatenate([grads[name].ravel() for name in names])
+            v *= scale
+            np.clip(v, -1, 1, out=v)
+            sums += v * v
+            dense -= RATE * v / np.sqrt(sums)
+            np.clip(dense[:bounded], -BOUND, BOUND, out=dense[:bounded])
     return net, seen
 
 
@@ -358,7 +410,10 @@ def lane_scores(net: Network, before: np.ndarray, kind: np.ndarray, word: np.nda
         s, _ = net.run(before[rows], begins[rows], h[:live], keep=False)
         h = s[-1]
         flat = rows.ravel()
-        out[flat] = net.output(s.reshape(-1, HIDDEN), kind[flat], word[flat])
+        s = s.reshape(-1, HIDDEN)
+        for a in range(0, len(flat), SCORE_ROWS):  # what is made of a piece stays in a core's own cache
+            part = flat[a : a + SCORE_ROWS]
+            out[part] = net.output(s[a : a + SCORE_ROWS], kind[part], word[part])
         at += steps
     return out
 

@@ -856,3 +856,32 @@ def test_repeated_spans_that_need_both_sides(spark):
 def test_empty_tables(none):
     assert quality.assess(none).count() == 0 and quality.keep_good(none).count() == 0
     assert near_dups.near_duplicates(none).count() == 0 and near_dups.keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [0, 24, 60])
+def test_lm_lookup_by_buckets_finds_what_a_search_finds(crowd):
+    """Spread hashes, and hashes that crowd into a few buckets or one."""
+    rng = np.random.default_rng(8)
+    hashes = np.unique(np.r_[rng.integers(0, 1 << 64, 3000, np.uint64) >> np.uint64(crowd), np.uint64(0)])
+    lex = lm.Lexicon(1, 1, hashes, np.arange(len(hashes)), np.arange(len(hashes)) + 7, np.zeros(0), np.zeros(0))
+    asked = np.r_[rng.choice(hashes, 4000), hashes + np.uint64(1), rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]
+    place = {int(h): i for i, h in enumerate(hashes)}
+    want = [place.get(int(h), -1) for h in asked]
+    count, slot = lex.lookup(asked)
+    assert count.tolist() == want and slot.tolist() == [i + 7 if i >= 0 else -1 for i in want]
+    assert lex.starts()[1].size <= 1 << 21 and lex.__getstate__()["_starts"] is None
+
+
+def test_lm_scores_in_pieces_that_fit_a_cache(monkeypatch):
+    """The softmax takes few tokens at once, and its pieces do not show in the scores."""
+    lex = lm.Lexicon(100, 10, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(lm.TAIL), np.ones(lm.TAIL), np.ones(lm.SHORT))
+    net, rng, n = lm.Network.fresh(lex), np.random.default_rng(2), 40_000
+    kind, bounds = rng.integers(0, lm.CLASSES, n).astype(np.int32), np.arange(0, n + 1, 400)
+    word, before = np.where(kind < lm.WIDE, rng.integers(0, lm.DEEP, n), 0).astype(np.int32), rng.integers(0, lm.SHORT, n).astype(np.int32)
+    output, sizes = lm.Network.output, []
+    monkeypatch.setattr(lm.Network, "output", lambda self, s, *a: (sizes.append(len(s)), output(self, s, *a))[1])
+    monkeypatch.setattr(lm, "SCORE_ROWS", 1000)
+    small = lm.lane_scores(net, before, kind, word, bounds)
+    assert sum(sizes) == n and max(sizes) <= 1000
+    monkeypatch.setattr(lm, "SCORE_ROWS", 1 << 20)
+    assert np.abs(lm.lane_scores(net, before, kind, word, bounds) - small).max() < 1e-4
